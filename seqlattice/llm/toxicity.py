@@ -153,7 +153,7 @@ def token_labels(features: list[np.ndarray], row: np.ndarray, toxic: np.ndarray,
 
 @dataclass(frozen=True)
 class Settings:
-    rows_per_class: int = 2000
+    rows_per_class: int = 1200
     bits: int = 18
     rounds: int = 40
     rate: float = 0.5
@@ -185,6 +185,7 @@ def train_chain(texts: pa.Array, toxic: np.ndarray, s: Settings) -> Chain:
     chain = Chain(np.zeros(1 << s.bits), np.zeros((2, 2)), 0.0, np.log((gold.sum() + 1) / (len(gold) - gold.sum() + 1)))
     sums = [np.full(1 << s.bits, 1e-8), np.full((2, 2), 1e-8), 1e-8, 1e-8]
     n = max(gold.sum(), 1.0)
+    real = np.bincount((2 * gold[second - 1] + gold[second]).astype(np.int8), minlength=4).astype(float)
     for _ in range(s.rounds):
         emission = np.full(len(row), chain.bias)
         for p in places:
@@ -195,13 +196,12 @@ def train_chain(texts: pa.Array, toxic: np.ndarray, s: Settings) -> Chain:
         step = np.zeros(1 << s.bits)
         for p in places:
             step += np.bincount(p, error, minlength=1 << s.bits)
-        a, o = np.exp(chain.transition), np.exp(emission[second])
-        f, b = forward[second - 1], backward[second]
-        joint = np.stack([a[0, 0] + 0 * f, a[0, 1] * o * b, a[1, 0] * f, a[1, 1] * f * o * b])
-        joint /= joint.sum(axis=0)
-        was, now = gold[second - 1], gold[second]
-        real = np.array([((1 - was) * (1 - now)).sum(), ((1 - was) * now).sum(), (was * (1 - now)).sum(), (was * now).sum()])
-        updates = [step / n - s.ridge * chain.weights, (real - joint.sum(axis=1)).reshape(2, 2) / n, error[at[:-1]].sum() / n, error.sum() / n]
+        a, o = np.exp(chain.transition), np.exp(emission[second]) * backward[second]
+        f = forward[second - 1]
+        whole = a[0, 0] + a[0, 1] * o + (a[1, 0] + a[1, 1] * o) * f
+        joint = np.array([(a[0, 0] / whole).sum(), (a[0, 1] * o / whole).sum(), (a[1, 0] * f / whole).sum(), (a[1, 1] * f * o / whole).sum()])
+        del o, f, whole, emission, forward, backward, marginal
+        updates = [step / n - s.ridge * chain.weights, (real - joint).reshape(2, 2) / n, error[at[:-1]].sum() / n, error.sum() / n]
         for k, u in enumerate(updates):
             sums[k] = sums[k] + u * u
         moves = [s.rate * u / np.sqrt(x) for u, x in zip(updates, sums)]
