@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, packing, quality_rules, sharding, top_k, toxicity
+from . import html_extraction, packing, quality_rules, sentence_pieces, sharding, top_k, toxicity
 from .common import read_table
 
 
@@ -50,7 +50,16 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_html_extraction, op5_toxicity, op6_sharding, op7_top_k)}
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = sentence_pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = read_table(spark, sf_dir, "documents")
+    out = sentence_pieces.transcode(docs, pieces)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), F.char_length("decoded").cast("long").alias("decoded_chars"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_html_extraction, op5_toxicity, op6_sharding, op7_top_k, op8_sentence_pieces)}
 
 ORACLE_SQL = {
     "op7_top_k": """
