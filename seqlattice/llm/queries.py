@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, packing, quality_rules, sentence_pieces, sharding, top_k, toxicity
+from . import html_extraction, jaccard_join, packing, quality_rules, sentence_pieces, sharding, top_k, toxicity
 from .common import read_table
 
 
@@ -27,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.result(docs, quality_rules.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -59,7 +63,7 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), F.char_length("decoded").cast("long").alias("decoded_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_html_extraction, op5_toxicity, op6_sharding, op7_top_k, op8_sentence_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_jaccard_join, op4_html_extraction, op5_toxicity, op6_sharding, op7_top_k, op8_sentence_pieces)}
 
 ORACLE_SQL = {
     "op7_top_k": """
