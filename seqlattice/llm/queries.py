@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, jaccard_join, packing, quality_rules, sentence_pieces, sharding, top_k, toxicity
+from . import html_extraction, jaccard_join, packing, paragraph_dedup, quality_rules, sentence_pieces, sharding, top_k, toxicity
 from .common import read_table
 
 
@@ -63,7 +63,12 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), F.char_length("decoded").cast("long").alias("decoded_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_jaccard_join, op4_html_extraction, op5_toxicity, op6_sharding, op7_top_k, op8_sentence_pieces)}
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = paragraph_dedup.removals(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_jaccard_join, op4_html_extraction, op5_toxicity, op6_sharding, op7_top_k, op8_sentence_pieces, op9_paragraph_dedup)}
 
 ORACLE_SQL = {
     "op7_top_k": """
