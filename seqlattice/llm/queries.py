@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, jaccard_join, packing, paragraph_dedup, quality_rules, sentence_pieces, sharding, top_k, toxicity
+from . import html_extraction, jaccard_join, packing, paragraph_dedup, quality_rules, sentence_pieces, sharding, suffix_dedup, top_k, toxicity
 from .common import read_table
 
 
@@ -68,7 +68,13 @@ def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_jaccard_join, op4_html_extraction, op5_toxicity, op6_sharding, op7_top_k, op8_sentence_pieces, op9_paragraph_dedup)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_jaccard_join, op4_html_extraction, op5_toxicity, op6_sharding, op7_top_k, op8_sentence_pieces, op9_paragraph_dedup, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op7_top_k": """
