@@ -94,9 +94,9 @@ def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
 
 
 def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float = 0.999, size: int = 64, limit: int = 1000, depth: int = 5, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of docs: id, text_id, class_id, n_links, n_copies.
+    """One row a row of docs: id, text_id, class_key, class_id, n_links, n_copies.
 
-    class_id: the smallest id of the rows whose texts are joined to this one by equality or by
+    class_key: the smallest text_id of the class; class_id: the smallest id of the rows whose texts are joined to this one by equality or by
     links (similarity >= threshold); n_links: the different texts that this text links to;
     n_copies: the rows with this text.
     """
@@ -118,9 +118,9 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
     grouped = roots.join(texts.select("id", "first"), "id")
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))
     degree = links.groupBy("id").agg(F.sum("links").alias("n_links"))
-    linked = grouped.join(least, "root").select("id", "least").join(degree, "id", "left")
-    known = texts.join(linked, "id", "left").select("id", F.coalesce("least", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return rows.select("doc_id", "id").join(known, "id").select(F.col("doc_id").alias(id_col), F.col("id").alias("text_id"), "class_id", "n_links", "n_copies")
+    linked = grouped.join(least, "root").select("id", "root", "least").join(degree, "id", "left")
+    known = texts.join(linked, "id", "left").select("id", F.coalesce("root", "id").alias("class_key"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return rows.select("doc_id", "id").join(known, "id").select(F.col("doc_id").alias(id_col), F.col("id").alias("text_id"), "class_key", "class_id", "n_links", "n_copies")
 
 
 def _buckets(sets: DataFrame, similarity: float, runs: int, limit: int, depth: int, seed: int) -> DataFrame:

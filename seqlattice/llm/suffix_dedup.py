@@ -221,3 +221,29 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], [id_col, "key", "n_bytes", "spans", "kept"])
 
     return rows.join(ranges, "key", "left").select("doc_id", "key", "text", "ranges").mapInArrow(run, f"{id_col} {kind}, key long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+
+
+def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """docs with the repeated bytes cut out of their texts, and with them the characters that lose a byte."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(id_col).isNull(), text))
+    ranges = cut_lineage(repeat_ranges(keyed.select(F.col("_key").alias("key"), text.alias("text")), shard_bytes))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, found in zip(batch.column(place), batch.column(batch.num_columns - 1)):
+                if found.is_valid:
+                    raw, runs = text.as_py().encode("utf-8"), merged(found.as_py())
+                    cuts = [0, *(x for r in runs for x in r), len(raw)]
+                    texts.append("".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(cuts[::2], cuts[1::2])))
+                else:
+                    texts.append(text.as_py())
+            columns = list(batch.columns[:-1])
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = docs.columns
+    joined = keyed.join(ranges.withColumnsRenamed({"key": "_key", "ranges": "_ranges"}), "_key", "left").select(*[F.col(f"`{c}`") for c in names], "_ranges")
+    return joined.mapInArrow(run, docs.schema)
