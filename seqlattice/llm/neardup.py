@@ -72,6 +72,29 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int = 16 <<
         yield pa.Table.from_batches(held)
 
 
+def meeting(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key (a long) occurs twice at least; a row is held only until its neighbour is seen."""
+    place = rows.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, met = None, False  # the last row so far, and whether it equals the one before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(place).to_numpy()
+            same = np.r_[held is not None and held.column(place)[0].as_py() == keys[0], keys[1:] == keys[:-1]]
+            if held is not None and (met or same[0]):
+                yield held
+            keep = same.copy()
+            keep[:-1] |= same[1:]
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+            held, met = batch.slice(batch.num_rows - 1), bool(same[-1])
+        if held is not None and met:
+            yield held
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, rows.schema)
+
+
 def pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of places i < j of one group (group: equal values adjacent), some at a time."""
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)

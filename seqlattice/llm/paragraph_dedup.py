@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, Spans, cut_lineage, lines_of, mix, shingles, text_groups, words_of
-from .neardup import components, min_hashes, multipliers, needed, verify, with_blocks
+from .neardup import components, meeting, min_hashes, multipliers, needed, verify, with_blocks
 
 
 def tune(hashes: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -90,8 +90,8 @@ def removals(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, least_words
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(id_col).isNull(), text).alias("key"), text.alias("text"))
     found = cut_lineage(paragraphs(rows, n=n, least=least_words, hashes=hashes, bands=bands, seed=seed))
     items = cut_lineage(found.groupBy("id").agg(F.min(F.struct("doc_id", "key", "place")).alias("first"), F.count("*").alias("times"), F.first("bands").alias("bands")))
-    keys = items.select(F.explode("bands").alias("key"), "id")
-    buckets = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    keys = cut_lineage(meeting(items.select(F.explode("bands").alias("key"), "id"), "key"))
+    buckets = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")), "key")
     members = buckets.groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("b"))
     members = members.select("id", F.transform("b", lambda b: b["key"]).alias("keys"), F.explode("b").alias("b")).select("id", "keys", "b.key", "b.n")
     pairs = cut_lineage(needed(with_blocks(members, limit), 0))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Spans, cut_lineage, text_groups
 from .induced_sorting import CAP, sort_suffixes
-from .neardup import whole_groups
+from .neardup import meeting, whole_groups
 
 LENGTH = CAP  # bytes of a string
 GRAM = 32
@@ -87,28 +87,6 @@ def pieces_of(rows: DataFrame) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "anchor long, key long, first int, strings int, shift int, piece long")
 
 
-def repeated(pieces: DataFrame) -> DataFrame:
-    """The rows of pieces whose anchor occurs twice at least; a row is held until its neighbour is seen."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, met = None, False  # the last row so far, and whether it equals the one before it
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor = batch.column(0).to_numpy()
-            same = np.r_[held is not None and held.column(0)[0].as_py() == anchor[0], anchor[1:] == anchor[:-1]]
-            if held is not None and (met or same[0]):
-                yield held
-            keep = same.copy()
-            keep[:-1] |= same[1:]
-            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
-            held, met = batch.slice(batch.num_rows - 1), bool(same[-1])
-        if held is not None and met:
-            yield held
-
-    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, pieces.schema)
-
-
 def _ranges(flags: np.ndarray) -> list[dict]:
     edges = np.flatnonzero(np.diff(np.r_[False, flags, False]))
     return [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
@@ -177,7 +155,7 @@ PIECE = ["anchor", "piece", "shift", "strings"]
 
 def repeat_ranges(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """key, ranges (start, end in bytes, in any order) of the repeated bytes of rows(key, text)."""
-    found = cut_lineage(repeated(pieces_of(rows)))
+    found = cut_lineage(meeting(pieces_of(rows), "anchor"))
     kinds = found.groupBy(*PIECE).agg(F.count("*").alias("times"), F.min(F.struct("key", "first")).alias("at"))
     kinds = cut_lineage(kinds.join(found.groupBy("anchor").agg((F.min(F.struct("piece", "shift", "strings")) != F.max(F.struct("piece", "shift", "strings"))).alias("several")), "anchor"))
     unsure = kinds.where("several").select(*PIECE, "times", "at.key", "at.first")
