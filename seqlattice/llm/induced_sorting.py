@@ -113,16 +113,17 @@ class _Sources:
 
     def __init__(self, text: np.ndarray, queues: list[Queue]):
         self.text, self.queues = text, queues
+        self.small = np.uint16 if len(queues) <= 1 << 16 else np.int64
         self.since = np.zeros(len(queues), np.uint8)  # least common prefix since a queue's last tuple
         self.fresh = np.ones(len(queues), bool)
 
     def deal(self, at: np.ndarray, lcp: np.ndarray, take) -> None:
-        """lcp[i]: common prefix of source i and the source scanned before it. take(chars, at): which neighbours belong."""
+        """lcp[i]: common prefix of source i and the source scanned before it. take(at): which neighbours belong."""
         before = at - 1
-        chars = self.text[np.maximum(before, 0)].astype(np.int64)
-        hit = np.flatnonzero((before >= 0) & take(chars, before))
-        order = hit[np.argsort(chars[hit], kind="stable")]
-        char = chars[order]
+        chars = self.text[np.maximum(before, 0)]
+        hit = np.flatnonzero((before >= 0) & take(before))
+        order = hit[np.argsort(chars[hit].astype(self.small), kind="stable")]  # 16 bits are sorted by counting
+        char = chars[order].astype(np.int64)
         low = lcp.min() if len(lcp) else CAP
         old = self.since.copy()
         np.minimum(self.since, low, out=self.since)
@@ -160,7 +161,7 @@ def induce(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, seed_lcp: np.
     lows = [Queue(folder, hold) for _ in range(alphabet)]
     edges = np.searchsorted(text[seeds], np.arange(alphabet + 1))
     out = _Sources(text, lows)
-    is_low = lambda chars, at: ~types[at]
+    is_low = lambda at: ~types[at]
     for c in range(alphabet):
         link = 0  # common prefix with the source before, where a bucket begins
         for part in lows[c].forward():
@@ -175,7 +176,7 @@ def induce(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, seed_lcp: np.
                 out.deal(seeds[a + k : min(a + k + CHUNK, b)], lcp[k : k + CHUNK], is_low)
     highs = [Queue(folder, hold) for _ in range(alphabet)]
     out = _Sources(text, highs)
-    is_high = lambda chars, at: types[at]
+    is_high = lambda at: types[at]
     try:
         for c in range(alphabet - 1, -1, -1):
             held = None  # a tuple whose common prefix with the next smaller suffix isn't known yet
@@ -232,20 +233,39 @@ def _doubled(names: np.ndarray) -> np.ndarray:
             return order
 
 
-def common_prefixes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+def packed(text: np.ndarray, alphabet: int) -> tuple[np.ndarray, int]:
+    """(the next few characters at each place as one number, how many they are); zeros follow the text."""
+    bits = max(int(alphabet - 1).bit_length(), 1)
+    per = 63 // bits
+    padded = np.zeros(len(text) + CAP + 2 * per, np.uint64)
+    padded[: len(text)] = text
+    out = np.zeros(len(text) + CAP + per, np.uint64)
+    for k in range(per):
+        out <<= np.uint64(bits)
+        out |= padded[k : k + len(out)]
+    return out, per
+
+
+def common_prefixes(text: np.ndarray, at: np.ndarray, alphabet: int) -> np.ndarray:
     """Common prefix, up to CAP, of each suffix and the one before it in the list; the first has 0."""
-    n = len(text)
-    out = np.zeros(len(at), np.uint8)
-    live = np.arange(1, len(at))
-    for k in range(CAP):
+    words, per = packed(text, alphabet)
+    out = np.zeros(len(at), np.int64)
+    live, odd = np.arange(1, len(at)), []
+    for k in range(0, CAP, per):
         if not len(live):
             break
-        i, j = at[live] + k, at[live - 1] + k
-        ok = (i < n) & (j < n)
+        same = words[at[live] + k] == words[at[live - 1] + k]
+        odd.append(live[~same])
+        live = live[same]
+        out[live] = k + per
+    live = np.concatenate(odd) if odd else live[:0]
+    for _ in range(per - 1):  # within the word that differs
+        i, j = at[live] + out[live], at[live - 1] + out[live]
+        ok = np.maximum(i, j) < len(text)
         ok[ok] = text[i[ok]] == text[j[ok]]
         live = live[ok]
-        out[live] = k + 1
-    return out
+        out[live] += 1
+    return np.minimum(out, CAP).astype(np.uint8)
 
 
 def sort_suffixes(text: np.ndarray, alphabet: int, folder: str | None = None, hold: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -276,4 +296,4 @@ def sort_suffixes(text: np.ndarray, alphabet: int, folder: str | None = None, ho
         order = stars[np.concatenate([at for at, _ in sort_suffixes(reduced, int(name[-1]) + 1, folder, hold)])[::-1]]
     else:
         order = stars[_doubled(reduced)]
-    yield from induce(text, types, order, common_prefixes(text, order), alphabet, folder, hold)
+    yield from induce(text, types, order, common_prefixes(text, order, alphabet), alphabet, folder, hold)

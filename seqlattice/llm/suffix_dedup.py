@@ -2,7 +2,7 @@
 
 The suffixes of all texts are sorted in shards, each by external induced sorting with common
 prefixes (induced_sorting). Shards are made so that equal 200-byte strings meet: a string's
-anchor is the least hash of its 32-byte grams, and consecutive strings with the same anchor
+anchor is the least hash of its 80-byte grams, and consecutive strings with the same anchor
 make a piece, a text of their bytes that goes to the shard of the anchor's hash. Equal strings
 have equal anchors, so two suffixes of a shard with a common prefix of 200 bytes are all that
 has to be found, and none is missed.
@@ -33,9 +33,9 @@ from .induced_sorting import CAP, sort_suffixes
 from .neardup import meeting, whole_groups
 
 LENGTH = CAP  # bytes of a string
-GRAM = 32
+GRAM = 80
 PLACE_BITS = 28
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 def anchors_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
