@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, Spans, mix, text_groups
 
 PREFIXES = (3, 4, 5, 6, 7)
+TAG_BYTES = 6 << 20  # of text whose tokens are held at a time
 MOST = 30.0  # bound of a token's log odds, which keeps the recursions finite
 
 #: Token bytes: ASCII letters and digits, and all bytes of other characters.
@@ -223,7 +224,7 @@ class Model:
         parts = []
         for first, _, data, at in text_groups(texts):
             start, end, row = tokens_of(data, at)
-            parts.append((row + first, start - at[row], end - at[row], self.chain.emissions(features_of(data, start, end))))
+            parts.append(((row + first).astype(np.int32), (start - at[row]).astype(np.int32), (end - at[row]).astype(np.int32), self.chain.emissions(features_of(data, start, end))))
         row, start, end, emission = (np.concatenate([p[k] for p in parts]) for k in range(4)) if parts else (np.empty(0, np.int64),) * 4
         at = np.searchsorted(row, np.arange(len(texts) + 1))
         return row, start, end, self.chain.marginals(emission, at)[0], at
@@ -299,10 +300,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def judge(model: Model, texts: pa.Array, n: int) -> tuple[np.ndarray, pa.Array]:
+    """Scores and spans of n texts, tagged some megabytes at a time."""
     if model.chain is None:
         return np.full(n, model.constant), _spans(*(np.empty(0, np.int64),) * 4, n)
-    row, start, end, marginal, _ = model.tag(texts)
-    return model.scores(model.summary(row, marginal, n)), _spans(row, start, end, marginal, n)
+    scores, spans = [], []
+    for first, after, _, _ in text_groups(texts, TAG_BYTES):
+        row, start, end, marginal, _ = model.tag(texts.slice(first, after - first))
+        scores.append(model.scores(model.summary(row, marginal, after - first)))
+        spans.append(_spans(row, start, end, marginal, after - first))
+    return np.concatenate(scores), pa.concat_arrays(spans)
 
 
 def keep(docs: DataFrame, model: Model, below: float = 0.7, text_col: str = "text") -> DataFrame:
