@@ -8,7 +8,7 @@ subsequence, and the lines that both share are deleted.
 
 What differencing may delete is bounded by what it can know. Lines in an element that the page
 itself marks as its article stay, as two articles may quote the same passage; a pair that
-shares over half of its lines is a pair of copies, which says nothing of the template, and
+shares over half of its text is a pair of copies, which says nothing of the template, and
 deletes nothing. So differencing decides in pages without such a mark.
 
 Only hashes of lines are sorted by host and path, so that a host with a third of all pages is
@@ -229,14 +229,14 @@ def line_hash(text: str) -> int:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, host, path, hashes of the lines, whether the page marks no article."""
+    """key, host, path, hashes and lengths (0 in an element around the article) of the lines, whether the page marks no article."""
     for batch in batches:
         out: list[tuple] = []
         for key, url, html in zip(*(c.to_pylist() for c in batch.columns)):
             blocks = blocks_of(html)
-            out.append((key, *host_and_path(url), [line_hash(b) for b, _, _ in blocks], not marked(blocks)))
+            out.append((key, *host_and_path(url), [line_hash(b) for b, _, _ in blocks], [0 if aside else len(b) for b, _, aside in blocks], not marked(blocks)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.bool_()))], ["key", "host", "path", "lines", "plain"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_()))], ["key", "host", "path", "lines", "sizes", "plain"])
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,23 +252,23 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_lines(before: tuple | None, row: tuple, after: tuple | None, copies: float) -> list[int]:
-    """The places of row's lines that its nearest page shares; rows are (key, host, path, lines, plain)."""
+    """The places of row's lines that its nearest page shares; rows are (key, host, path, lines, sizes, plain)."""
     before = before if before and before[1] == row[1] else None
     after = after if after and after[1] == row[1] else None
     side = nearer(row[2], before and before[2], after and after[2])
     if not side or not row[3]:
         return []
     found = common_lines(row[3], (before if side < 0 else after)[3])
-    return [] if len(found) > copies * len(row[3]) else found
+    return [] if sum(row[4][k] for k in found) > copies * sum(row[4]) else found
 
 
 def difference(lines: DataFrame, copies: float) -> DataFrame:
     """key, shared (places of lines to delete) of the pages that mark no article."""
     ordered = cut_lineage(lines.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key"))
-    ends = ordered.mapInArrow(_ends, "key long, host string, path string, lines array<long>, plain boolean, part int").collect()
+    ends = ordered.mapInArrow(_ends, "key long, host string, path string, lines array<long>, sizes array<int>, plain boolean, part int").collect()
     parts: dict[int, list[tuple]] = {}
     for r in ends:
-        parts.setdefault(r["part"], []).append(tuple(r)[:5])
+        parts.setdefault(r["part"], []).append(tuple(r)[:6])
     order = sorted(parts)
     around = {p: (parts[order[k - 1]][1] if k else None, parts[order[k + 1]][0] if k + 1 < len(order) else None) for k, p in enumerate(order)}
 
@@ -281,12 +281,12 @@ def difference(lines: DataFrame, copies: float) -> DataFrame:
 
         for batch in batches:
             for then in zip(*(c.to_pylist() for c in batch.columns)):
-                if row and row[4]:
+                if row and row[5]:
                     out.append((row[0], shared_lines(before, row, then, copies)))
                 before, row = row or before, then
             yield batch_of()
             out.clear()
-        if row and row[4]:
+        if row and row[5]:
             out.append((row[0], shared_lines(before, row, after, copies)))
             yield batch_of()
 
@@ -294,11 +294,11 @@ def difference(lines: DataFrame, copies: float) -> DataFrame:
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copies: float = 0.5) -> DataFrame:
-    """id, url, text of every row of pages. copies: the share of lines above which a pair is of copies."""
+    """id, url, text of every row of pages. copies: the share of text above which a pair is of copies."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.xxhash64("page_id", F.col("page_id").isNull(), "url", F.col("url").isNull(), "html"))
-    masks = cut_lineage(difference(rows.select("key", "url", "html").mapInArrow(_lines, "key long, host string, path string, lines array<long>, plain boolean"), copies))
+    masks = cut_lineage(difference(rows.select("key", "url", "html").mapInArrow(_lines, "key long, host string, path string, lines array<long>, sizes array<int>, plain boolean"), copies))
 
     def read(batches: Iterator[pa.RecordBatch], plain: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
