@@ -139,7 +139,7 @@ class _Output:
             self.rows, self.bytes = [], 0
 
 
-def pack(docs: DataFrame, encode_from: tuple[str, str], *, window: int = 2048, end_id: int = 1, open_windows: int = 64, merge_partitions: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, encode_from: tuple[str, str], *, window: int = 2048, end_id: int = 1, open_windows: int = 64, merge_partitions: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: doc_id, start, length, ids (uint32, little-endian), doc_tokens, sequence_id, offset.
 
     encode_from: the paths of the rank file and the JSON file of the tokenizer. The pieces are
