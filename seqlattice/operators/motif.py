@@ -192,14 +192,15 @@ def build(seed: str, sets: DataFrame, ranks: DataFrame, s: Settings, left: int =
     """Core and flanks; left and right are numbers of steps, -1 for as far as support goes."""
     core = wobble(seed, sets, ranks, s)
     k, window, probs = len(seed), core.consensus, [core.ppm[i] for i in range(len(seed))]
-    out = Motif(dict(core.ppm), [dict(r, side="core", step=0, gaps_used=0) for r in core.reduced])
+    out = Motif(dict(core.ppm), [dict(r, side="core", step=r["pos"], gaps_used=seed.count(".")) for r in core.reduced])
     for side, steps in (("left", left), ("right", right)):
         if not steps:
             continue
         flank, rows = extend(window, probs, sets, ranks, side, s, s.max_steps if steps < 0 else steps)
         place = {i: -1 - i if side == "left" else k + i for i in range(len(flank))}
         out.ppm |= {place[i]: p for i, p in enumerate(flank)}
-        out.reduced += [dict(r, pos=place[r["step"]]) for r in rows]
+        rows = [dict(r, pos=place[r["step"]]) for r in rows]
+        out.reduced = rows + out.reduced if side == "left" else out.reduced + rows
     return out
 
 
