@@ -77,7 +77,7 @@ def region_part(region: Column | str, part: str) -> Column:
 def region_length(region: Column | str, otherwise: int = 200) -> Column:
     """end - start, 1 at least; a fixed value where the key can't be read."""
     size = region_part(region, "end") - region_part(region, "start")
-    return F.coalesce(F.greatest(F.lit(1).cast("long"), size), F.lit(otherwise).cast("long"))
+    return F.when(size.isNull(), F.lit(otherwise).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), size))
 
 
 def folded_place(place: Column, length: Column) -> Column:
@@ -137,7 +137,7 @@ def signature_pattern(code: Column | str, mask: str) -> Column:
     at = {p: len(ones) - 1 - i for i, p in enumerate(ones)}
     letters = F.array(*map(F.lit, BASES))
     parts = [F.element_at(letters, (F.shiftright(_col(code), 2 * at[p]).bitwiseAND(F.lit(3).cast("long")) + 1).cast("int")) if p in at else F.lit(".") for p in range(len(mask))]
-    return F.concat(*parts)
+    return F.when(_col(code).isNotNull(), F.concat(*parts))
 
 
 def masked_display(window: Column | str, mask: str, tested: Column | int, allele: Column | str | None = None) -> Column:
