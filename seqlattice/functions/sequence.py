@@ -92,6 +92,15 @@ def wildcard_place(offset: Column, j: Column | int, k: int, is_reverse: Column)
     return F.when(is_reverse, offset + (k - 1) - j).otherwise(offset + j)
 
 
+def base_code(base: Column | str) -> Column:
+    """1 to 4 of A, C, G, T, 0 of others: a number, so that its minimum is a hash aggregate."""
+    return F.instr(F.lit("ACGT"), _col(base))
+
+
+def base_of(code: Column) -> Column:
+    return F.substring(F.lit("ACGT"), code, F.lit(1))
+
+
 def one_hot(value: Column | str, levels: tuple[str, ...] = BASES, prefix: str = "") -> list[Column]:
     return [(_col(value) == F.lit(v)).cast("double").alias(f"{prefix}{v}") for v in levels]
 

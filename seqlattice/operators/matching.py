@@ -8,6 +8,7 @@ once for each window and allele, by the strand that the rule names.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -53,7 +54,9 @@ def match(windows: DataFrame, index: DataFrame, k: int, by: list[str], *, last_s
 
 def unambiguous(matches: DataFrame, by: list[str]) -> DataFrame:
     """matches of regions that one allele of the window alone hits."""
-    return matches.groupBy(*by, "region").agg(F.count_distinct("allele").alias("n"), F.min("allele").alias("allele"), F.min("place").alias("place")).where("n = 1").drop("n")
+    code = S.base_code("allele")
+    out = matches.groupBy(*by, "region").agg(F.min(code).alias("_low"), F.max(code).alias("_high"), F.min("place").alias("place")).where("_low = _high")
+    return out.select(*by, "region", S.base_of(F.col("_low")).alias("allele"), "place")
 
 
 def design(matches: DataFrame, by: list[str], intensity: DataFrame, context: DataFrame | None = None) -> DataFrame:
@@ -68,8 +71,8 @@ def design(matches: DataFrame, by: list[str], intensity: DataFrame, context: Dat
     if context is None:
         return rows.select(*by, "region", "allele", "y", "lp", "sl")
     rows = rows.join(context.select("region", F.when(~F.isnan("cpg_oe"), F.col("cpg_oe")).alias("cpg_oe")), "region", "left")
-    middle = rows.groupBy(*by).agg(F.percentile("cpg_oe", F.lit(0.5)).alias("_middle"))
-    filled = rows.join(middle, by).withColumn("cpg_oe", F.coalesce("cpg_oe", "_middle", F.lit(0.0)))
+    middle = F.percentile("cpg_oe", F.lit(0.5)).over(W.partitionBy(*by))
+    filled = rows.withColumn("_middle", middle).withColumn("cpg_oe", F.coalesce("cpg_oe", "_middle", F.lit(0.0)))
     return filled.select(*by, "region", "allele", "y", "lp", "sl", "cpg_oe")
 
 

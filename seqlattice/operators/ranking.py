@@ -64,7 +64,9 @@ def choose_seed(sets: DataFrame, ranks: DataFrame, k: int, *, min_f: int = 20, m
 
 def disjoint(sets: DataFrame, by: list[str]) -> DataFrame:
     """sets(by..., base, region) without the regions that two bases of a group share."""
-    return sets.groupBy(*by, "region").agg(F.count_distinct("base").alias("n"), F.min("base").alias("base")).where("n = 1").drop("n")
+    code = S.base_code("base")
+    out = sets.groupBy(*by, "region").agg(F.min(code).alias("_low"), F.max(code).alias("_high")).where("_low = _high")
+    return out.select(*by, "region", S.base_of(F.col("_low")).alias("base"))
 
 
 def reduced_scores(sets: DataFrame, ranks: DataFrame, by: list[str], least: int = 1, buckets: int = 256) -> DataFrame:

@@ -157,9 +157,10 @@ def quantile_bins(spark, sf_dir):
 _FAM_DESIGN = (*_FAMILY_ALL, sql.unambiguous("fam"))
 
 
-def family_design(spark, sf_dir):
+def family_design(spark, sf_dir, asked=None):
+    """Design rows of all families, or of those asked for."""
     idx = _index(spark, sf_dir)
-    found = calibrate.family_matches(calibrate.families(idx, K), idx, K)
+    found = calibrate.family_matches(calibrate.families(idx, K) if asked is None else asked, idx, K)
     value = tables.intensity(spark, sf_dir).select("region", F.log1p("value").alias("value"))
     single = matching.unambiguous(found, ["family"]).join(value, "region")
     size = S.region_length("region")

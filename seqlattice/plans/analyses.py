@@ -19,6 +19,11 @@ def _value(spark, sf_dir):
     return tables.intensity(spark, sf_dir).withColumn("value", F.log1p("value"))
 
 
+def found_once(spark, sf_dir):
+    """The matches, kept (in memory or on disk) as a fit, the sampler and the background read them."""
+    return matching.match(_windows(spark, sf_dir), _index(spark, sf_dir), K, WINDOW).persist()
+
+
 def variant_design(spark, sf_dir, context: bool = False):
     found = matching.match(_windows(spark, sf_dir), _index(spark, sf_dir), K, WINDOW)
     cpg = tables.regions(spark, sf_dir).select("region", S.cpg_observed_expected("seq").alias("cpg_oe")) if context else None
@@ -67,8 +72,8 @@ def background_rows(spark, sf_dir, found, n: int = 100):
 
 
 def random_rows(spark, sf_dir, mode: str = "ols"):
-    found = matching.match(_windows(spark, sf_dir), _index(spark, sf_dir), K, WINDOW)
-    return background.against_background(found, background_rows(spark, sf_dir, found), WINDOW, _value(spark, sf_dir), mode=mode)
+    found = found_once(spark, sf_dir)
+    return background.against_background(found, background_rows(spark, sf_dir, found).persist(), WINDOW, _value(spark, sf_dir), mode=mode)
 
 
 @query("OP-3_variant_rows")
@@ -209,9 +214,9 @@ def stitched(spark, sf_dir):
 def cap_calibration(spark, sf_dir):
     rows = family_design(spark, sf_dir)
     big = rows.groupBy("family").agg(F.count("*").alias("n_probes_available"), F.count_distinct("allele").alias("a")).where("n_probes_available >= 50 and a > 1").orderBy(F.xxhash64("family"), "family").limit(20)
-    design = rows.join(F.broadcast(big.select("family")), "family")
-    curves, _ = calibrate.curves(design, [20, 40, 60], repeats=10)
-    return calibrate.recommend_cap(calibrate.cap_summary(curves, big, [20, 40, 60]), 0.5, 0.5)
+    chosen = spark.createDataFrame([tuple(r) for r in big.collect()], big.schema)  # 20 rows at most
+    curves, _ = calibrate.curves(family_design(spark, sf_dir, chosen), [20, 40, 60], repeats=10)
+    return calibrate.recommend_cap(calibrate.cap_summary(curves, chosen, [20, 40, 60]), 0.5, 0.5)
 
 
 def mask_table(spark, sf_dir, mask: str, n: int = 60, least: int = 30):

@@ -34,7 +34,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), letters("text").alias("seq"), F.coalesce("n_chars", F.lit(0)).cast("double").alias("value"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")).select(F.col("doc_id").alias("ord"), letters("text").alias("seq"), F.coalesce("n_chars", F.lit(0)).cast("double").alias("value"))
     return docs.select(F.concat(F.lit("doc"), F.col("ord"), F.lit(":0-"), F.length("seq")).alias("region"), "value", "ord")
 
 
