@@ -19,11 +19,6 @@ def _value(spark, sf_dir):
     return tables.intensity(spark, sf_dir).withColumn("value", F.log1p("value"))
 
 
-def found_once(spark, sf_dir):
-    """The matches, kept (in memory or on disk) as a fit, the sampler and the background read them."""
-    return matching.match(_windows(spark, sf_dir), _index(spark, sf_dir), K, WINDOW).persist()
-
-
 def variant_design(spark, sf_dir, context: bool = False):
     found = matching.match(_windows(spark, sf_dir), _index(spark, sf_dir), K, WINDOW)
     cpg = tables.regions(spark, sf_dir).select("region", S.cpg_observed_expected("seq").alias("cpg_oe")) if context else None
@@ -64,16 +59,21 @@ def affinity_means(spark, sf_dir):
     return _long(out.select(*WINDOW, "allele", F.round("coef", 6).alias("coef")), "motif_pos")
 
 
-def background_rows(spark, sf_dir, found, n: int = 100):
-    idx = _index(spark, sf_dir)
+def background_rows(spark, sf_dir, found, idx, n: int = 100):
     places = idx.groupBy("region").agg(F.min("offset").alias("offset"))
     drawn = background.sample_background(tables.variants(spark, sf_dir, K), found, places, K, n)
     return drawn.select(*WINDOW, "region", (F.col("offset") + F.col("motif_pos")).alias("place"))
 
 
+def matched_once(spark, sf_dir):
+    """(matches, index), kept in memory or on disk, as the sampler, the fit and the background all read them."""
+    idx = _index(spark, sf_dir).persist()
+    return matching.match(_windows(spark, sf_dir), idx, K, WINDOW).persist(), idx
+
+
 def random_rows(spark, sf_dir, mode: str = "ols"):
-    found = found_once(spark, sf_dir)
-    return background.against_background(found, background_rows(spark, sf_dir, found).persist(), WINDOW, _value(spark, sf_dir), mode=mode)
+    found, idx = matched_once(spark, sf_dir)
+    return background.against_background(found, background_rows(spark, sf_dir, found, idx).persist(), WINDOW, _value(spark, sf_dir), mode=mode)
 
 
 @query("OP-3_variant_rows")
@@ -263,9 +263,9 @@ def design_payload(spark, sf_dir):
 @query("OP-19_pooled_background")
 def pooled_background(spark, sf_dir):
     """Background rows are the baseline of every allele."""
-    found = matching.match(_windows(spark, sf_dir), _index(spark, sf_dir), K, WINDOW)
+    found, idx = matched_once(spark, sf_dir)
     hits = matching.unambiguous(found, WINDOW).select(*WINDOW, "region", "allele", "place")
-    rows = hits.unionByName(background_rows(spark, sf_dir, found).select(*WINDOW, "region", F.lit("none").alias("allele"), "place"))
+    rows = hits.unionByName(background_rows(spark, sf_dir, found, idx).select(*WINDOW, "region", F.lit("none").alias("allele"), "place"))
     size = S.region_length("region")
     rows = rows.join(_value(spark, sf_dir).select("region", F.col("value").alias("y")), "region").select("variant", F.format_string("%02d", F.col("motif_pos")).alias("window"), "region", "allele", F.lit("none").alias("ref"), "y", S.folded_place(F.col("place"), size).alias("lp"), size.cast("double").alias("sl"))
     return fits.pooled(rows, ["variant"])

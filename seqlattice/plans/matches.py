@@ -127,11 +127,12 @@ def masked_family_hits(spark, sf_dir):
     return hits.groupBy("code", "is_reverse").agg(F.count("*").alias("n"), F.sum("offset").alias("places"))
 
 
-@query("JOIN-9_background_anti", _SNV + ", hit as (select distinct variant, region from found) select variant, (select count(*) from regions) - count(*) as free from hit group by variant")
+@query("JOIN-9_background_anti", _SNV + "select a.variant, count(*) as free from (select distinct variant, region from found where motif_pos = 0) a where not exists (select 1 from found b where b.variant = a.variant and b.region = a.region and b.motif_pos > 0) group by a.variant")
 def background_anti(spark, sf_dir):
-    regions = tables.regions(spark, sf_dir)
-    hit = matching.match(_windows(spark, sf_dir), _index(spark, sf_dir), K, WINDOW).select("variant", "region").distinct()
-    free = regions.select("region").join(F.broadcast(hit.select("variant").distinct()), F.lit(True)).join(hit, ["variant", "region"], "left_anti")
+    """Regions of a variant's first window that none of its other windows uses."""
+    found = matching.match(_windows(spark, sf_dir), _index(spark, sf_dir), K, WINDOW)
+    first = found.where("motif_pos = 0").select("variant", "region").distinct()
+    free = first.join(found.where("motif_pos > 0").select("variant", "region"), ["variant", "region"], "left_anti")
     return free.groupBy("variant").agg(F.count("*").alias("free"))
 
 
