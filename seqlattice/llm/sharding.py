@@ -53,11 +53,16 @@ def interleave(rows: DataFrame, source: Column, order_key: Column, buckets: int)
 TIES = ("doc_id", "text_crc32", "size")
 
 
-def shard(docs: DataFrame, *, shards: int = 40, seed: int = 20240, extra: int = 16, buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+ROWS_SORTED = 50_000
+
+
+def shard(docs: DataFrame, *, shards: int = 40, seed: int = 20240, extra: int = 16, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, source of every row.
 
-    buckets bounds what one task sorts to about rows/buckets; raise it with the table.
+    buckets bounds what one task sorts to about rows / buckets; by default it follows the
+    number of rows, so that this is about ``ROWS_SORTED``.
     """
+    buckets = buckets or max(1024, docs.count() // ROWS_SORTED)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + extra).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col(source_col).alias("source"))
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 2)
