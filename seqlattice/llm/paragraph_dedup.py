@@ -84,7 +84,9 @@ def paragraph_sets(texts: DataFrame, n: int, least: int) -> DataFrame:
 
 
 def removals(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, least_words: int = 25, hashes: int = 32, recall: float = 0.999, limit: int = 1000, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of docs: id, key (of id and text), n_paragraphs (lines), removed (places of lines)."""
+    """One row a row of docs: id, key (of id and text), n_paragraphs (lines), removed (places of
+    lines), kept_in (the ids of the documents in which the removed paragraphs' first ones stay).
+    """
     bands = tune(hashes, threshold, recall)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(id_col).isNull(), text).alias("key"), text.alias("text"))
@@ -105,9 +107,9 @@ def removals(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, least_words
     linked = grouped.join(least, "root").select("id", "least")
     stays = items.select("id", "first", "times").join(linked, "id", "left").where("times > 1 or least is not null").select("id", F.coalesce("least", "first").alias("stays"))
     gone = found.select("key", "place", "id").join(stays, "id").where("key <> stays.key or place <> stays.place")
-    lists = gone.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("removed"))
+    lists = gone.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("removed"), F.sort_array(F.collect_set("stays.doc_id")).alias("kept_in"))
     out = rows.select("doc_id", "key", F.size(F.split("text", "\n", -1)).cast("long").alias("n_paragraphs"))
-    return out.join(lists, "key", "left").select(F.col("doc_id").alias(id_col), "key", "n_paragraphs", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return out.join(lists, "key", "left").select(F.col("doc_id").alias(id_col), "key", "n_paragraphs", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("kept_in", F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")).alias("kept_in"))
 
 
 def apply(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

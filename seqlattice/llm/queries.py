@@ -65,7 +65,7 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = paragraph_dedup.removals(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), "removed")
+    return out.select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -460,6 +460,7 @@ def test_one_paragraph_of_each_component_stays(spark):
             if i in r[1]:
                 assert len(line.split()) >= 25
     assert set(left) == set(component.values()) and set(left.values()) == {1}
+    assert {r["doc_id"]: r["kept_in"] for r in out.collect()}[9] == [7]
     cleaned = {r["doc_id"]: r["text"] for r in paragraph_dedup.apply(docs, out).collect()}
     assert cleaned[9] == words(6, 30) and cleaned[0] is None and cleaned[7] == words(1, 60)
     assert paragraph_dedup.removals(spark.createDataFrame([], DOCS)).count() == 0
