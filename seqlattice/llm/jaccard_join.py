@@ -109,9 +109,10 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
     members = members.select("id", "sketch", F.transform("b", lambda b: b["key"]).alias("keys"), F.explode("b").alias("b")).select("id", "sketch", "keys", "b.key", "b.n")
     deviation = math.sqrt(threshold * (1 - threshold) / size)
     pairs = cut_lineage(needed(with_blocks(members, limit), math.floor(size * (threshold - 5 * deviation))))
-    asked = pairs.select("id").distinct().join(texts.select("id", F.col("first").alias("doc_id")), "id")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("id", text_id(F.col("text")))
-    wanted = source.join(asked.select("doc_id", "id"), ["doc_id", "id"], "left_semi").select("id", "text")
+    holder = lambda c: F.xxhash64(c, F.col(c).isNull()).alias("_holder")  # noqa: E731  null ids hold texts too
+    asked = pairs.select("id").distinct().join(texts, "id").select("id", holder("first"))
+    source = docs.select(holder(id_col), text_id(F.col(text_col)).alias("id"), F.col(text_col).alias("text"))
+    wanted = source.join(asked, ["_holder", "id"], "left_semi").select("id", "text")
     links = cut_lineage(verify(pairs.join(shingle_sets(wanted, n), "id"), threshold))
     joined = components(links.select(F.col("id").alias("u"), F.col("root").alias("v")))
     roots = joined.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(joined.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
