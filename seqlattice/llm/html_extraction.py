@@ -51,6 +51,9 @@ HINTS = set(
     "comment comments disqus replies respond share sharing social related recommended recommendations".split()
 )
 
+# Words that say what a page has around its article, not what an element is.
+NOT_OF = {"has", "with", "no", "without", "layout"}
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -74,7 +77,12 @@ def is_aside(name: str, attrs: str, in_article: bool) -> bool:
         return True
     if name in ("html", "body", "main") or name == "article" and not in_article:
         return False
-    return any(w.lower() in HINTS for k in ("class", "id") for w in WORD.findall(found.get(k, "")))
+    for names in (found.get("class", ""), found.get("id", "")):
+        for one in names.split():
+            said = [w.lower() for w in WORD.findall(one)]
+            if NOT_OF.isdisjoint(said) and any(w in HINTS and not (in_article and w == "header") for w in said):
+                return True
+    return False
 
 
 def blocks_of(html: str) -> list[tuple[str, int, bool]]:
@@ -84,7 +92,14 @@ def blocks_of(html: str) -> list[tuple[str, int, bool]]:
     stack: list[tuple[str, bool, int]] = []  # open elements that are not inline: name, aside, article
     aside, article, articles, last = False, 0, 0, 0
 
+    held: list[list[str]] = []  # the text before each open inline element that is beside the article
+    inline: list[tuple[str, bool]] = []  # inline elements open since the first of those
+
     def flush() -> None:
+        if held:  # such an element ends with its block at the latest
+            text[:] = held[0]
+            held.clear()
+            inline.clear()
         if text:
             if block := " ".join(unescape("".join(text)).split()):
                 out.append((block, article, aside))
@@ -106,16 +121,22 @@ def blocks_of(html: str) -> list[tuple[str, int, bool]]:
                 text.append(" ")
             elif name == "hr":
                 flush()
-            elif name == "input" or name not in INLINE:
+            elif name in VOID:
                 pass
-            elif m["attrs"] and not m["end"] and not m["attrs"].endswith("/") and is_aside(name, m["attrs"], article > 0):
-                flush()
-                stack.append((name, True, article))
-                aside = True
-            elif m["end"] and stack and stack[-1][0] == name:
-                flush()
-                stack.pop()
-                aside = any(x[1] for x in stack)
+            elif m["end"]:
+                if (name, True) in inline or (name, False) in inline:
+                    k = max(i for i, x in enumerate(inline) if x[0] == name)
+                    if gone := sum(x[1] for x in inline[k:]):
+                        text[:] = held[-gone]
+                        del held[-gone:]
+                    del inline[k:]
+            elif not m["attrs"].endswith("/"):
+                off = bool(m["attrs"]) and is_aside(name, m["attrs"], article > 0)
+                if off:
+                    held.append(list(text))
+                    text.clear()
+                if held:
+                    inline.append((name, off))
             continue
         flush()
         if m["end"]:
@@ -137,6 +158,8 @@ def blocks_of(html: str) -> list[tuple[str, int, bool]]:
         if m["attrs"].endswith("/"):
             continue
         off = is_aside(name, m["attrs"], article > 0)
+        if name in ("article", "main") and not articles and not off:  # what holds the first article is not beside it
+            stack = [(n, x and n in ASIDE, a) for n, x, a in stack]
         if name in ("article", "main") and not article and not off and not any(x[1] for x in stack):
             articles += 1
             article = articles

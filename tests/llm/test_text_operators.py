@@ -184,7 +184,7 @@ def test_join_equals_all_pairs(spark, limit):
             copy = base.copy()
             for _ in range(rng.randint(0, 3)):
                 copy[rng.randrange(len(copy))] = f"w{rng.randrange(1000)}"
-            rows.append((1000 + 10 * g + k, " ".join(copy), None, None, None, None, None))
+            rows.append((None if k == 3 else 1000 + 10 * g + k, " ".join(copy), None, None, None, None, None))
     docs = spark.createDataFrame(rows, DOCS)
     out = jaccard_join.join(docs, limit=limit, depth=3, recall=0.9999)
     assert rows_of(out, "doc_id", "class_id", "n_links") == plain_join(docs.collect())
@@ -220,6 +220,16 @@ def test_article_without_its_surroundings(spark):
     assert out == sorted([(0, full), (1, full), (2, "Only 1 here <b>"), (3, "extra\n\nOnly 2 here <b>"), (4, ""), (5, ""), (5, ""), (None, "loose text"), (6, "Shared line\n\nOnly 9 here <b>"), (7, "Shared line\n\nOnly 9 here <b>")], key=str)
 
 
+def test_wrappers_of_the_article_are_not_beside_it():
+    html = "<body><div class='page header-fixed'><div class='no-sidebar'><main><div class='post-header'><h1>T</h1></div><p>a</p></main></div><div class='sidebar'>b</div></div><div class='comments'><article><p>c</p></article></div>"
+    assert html_extraction.text_of(html_extraction.blocks_of(html), set()) == ("T\n\na", True)
+
+
+def test_adverts_within_a_line_go():
+    html = "<article><p>Six <span class='ad'><b>buy</b> <span>now</span></span>seven<p>eight <span class='ad'>never closed<p>nine</article>"
+    assert html_extraction.text_of(html_extraction.blocks_of(html), set())[0] == "Six seven\n\neight\n\nnine"
+
+
 def test_common_lines_are_longest():
     rng = random.Random(0)
     for _ in range(500):
