@@ -3,7 +3,8 @@
 A document's paragraphs are its \\n-split lines of at least ``least_words`` words. Equal
 paragraphs are one item from the start; an item's word n-grams are min-hashed, the hashes cut
 into bands as wide as the target recall allows (``tune``), and items that collide in a band
-are compared by the exact Jaccard similarity of their n-grams. Links make components, and of
+are compared by the exact Jaccard similarity of their n-grams. A paragraph of fewer than n
+words has no n-gram: it is in no band and only its equals are its copies. Links make components, and of
 each component only the first paragraph, by document id and place, stays.
 
 Edge cases: a null or empty text has one empty line and no paragraph to remove. Rows equal in
@@ -63,7 +64,8 @@ def paragraphs(rows: DataFrame, *, n: int, least: int, hashes: int, bands: tuple
                     for k in range(band * r, band * r + r):
                         key = mix(key + low[:, k])
                     keys[:, band] = key
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, b * len(ids) + 1, b, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+                banded = np.bincount(owner, minlength=len(ids)) > 0
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(banded * b)].astype(np.int32)), pa.array(keys[banded].ravel().view(np.int64)))
                 who = pa.array(first + row)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(place.astype(np.int32)), pa.array(ids), lists], ["doc_id", "key", "place", "id", "bands"])
 
@@ -71,19 +73,25 @@ def paragraphs(rows: DataFrame, *, n: int, least: int, hashes: int, bands: tuple
 
 
 def paragraph_sets(texts: DataFrame, n: int, least: int) -> DataFrame:
-    """id, shingles (sorted distinct uint64) of the paragraphs of texts(text)."""
+    """id, shingles (sorted distinct uint64) of the paragraphs of texts(text, wanted) whose ids are wanted, once a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, at in text_groups(batch.column(0)):
-                _, _, ids, gram, owner = _paragraphs(data, at, n, least)
+            for first, after, data, at in text_groups(batch.column(0)):
+                row, _, ids, gram, owner = _paragraphs(data, at, n, least)
                 cut = np.searchsorted(owner, np.arange(len(ids) + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([np.unique(gram[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["id", "shingles"])
+                asked = {(k, x) for k, some in enumerate(batch.column(1).slice(first, after - first).to_pylist()) for x in some}
+                use = []
+                for k, x in enumerate(zip(row.tolist(), ids.tolist())):
+                    if x in asked:
+                        asked.discard(x)
+                        use.append(k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array([np.unique(gram[cut[k] : cut[k + 1]]).tobytes() for k in use], pa.binary())], ["id", "shingles"])
 
-    return texts.select("text").mapInArrow(run, "id long, shingles binary")
+    return texts.select("text", "wanted").mapInArrow(run, "id long, shingles binary")
 
 
-def removals(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, least_words: int = 25, hashes: int = 32, recall: float = 0.999, limit: int = 1000, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, least_words: int = 5, hashes: int = 32, recall: float = 0.999, limit: int = 1000, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of docs: id, key (of id and text), n_paragraphs (lines), removed (places of
     lines), kept_in (the ids of the documents in which the removed paragraphs' first ones stay).
     """
@@ -97,8 +105,8 @@ def removals(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, least_words
     members = buckets.groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("b"))
     members = members.select("id", F.transform("b", lambda b: b["key"]).alias("keys"), F.explode("b").alias("b")).select("id", "keys", "b.key", "b.n")
     pairs = cut_lineage(needed(with_blocks(members, limit), 0))
-    holders = pairs.select("id").distinct().join(items, "id").select("first.key").distinct()
-    sets = paragraph_sets(rows.join(holders, "key", "left_semi"), n, least_words)
+    holders = pairs.select("id").distinct().join(items, "id").groupBy("first.key").agg(F.collect_list("id").alias("wanted"))
+    sets = paragraph_sets(rows.join(holders, "key"), n, least_words)
     links = cut_lineage(verify(pairs.join(sets, "id"), threshold))
     joined = components(links.select(F.col("id").alias("u"), F.col("root").alias("v")))
     roots = joined.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(joined.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -64,7 +64,7 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = paragraph_dedup.removals(read_table(spark, sf_dir, "documents"))
+    out = paragraph_dedup.removals(read_table(spark, sf_dir, "documents"), least_words=1)
     return out.select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from seqlattice.llm import html_extraction, induced_sorting, jaccard_join, neardup, packing, paragraph_dedup, quality_rules, sentence_pieces, sharding, suffix_dedup, top_k, toxicity
 from seqlattice.llm.common import text_groups
-from seqlattice.llm.queries import learnable, tokenizer_paths
+from seqlattice.llm.queries import learnable, op9_paragraph_dedup, tokenizer_paths
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("key", T.IntegerType())])
 
@@ -476,6 +476,26 @@ def test_one_paragraph_of_each_component_stays(spark):
     assert paragraph_dedup.removals(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_short_lines_are_paragraphs_too(spark, tmp_path):
+    wrapped = [words(70 + k, 9) for k in range(7)]
+    near = words(90, 24)
+    texts = ["\n".join([words(80, 30), *wrapped, "By line", near]), "\n".join([words(81, 12), *wrapped, "", "By line", near + " end"]), "\n".join(["By line ", words(82, 4), "", near, "By line"]), words(82, 4) + "\nBy lines"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: (r["removed"], r["kept_in"]) for r in op9_paragraph_dedup(spark, str(tmp_path)).collect()}
+    assert out == {0: ([], []), 1: ([1, 2, 3, 4, 5, 6, 7, 9, 10], [0]), 2: ([3, 4], [0]), 3: ([0], [2])}
+    rng = random.Random(9)
+    lines = [words(300 + k, rng.randint(5, 24)).split() for k in range(25)]
+    rows = []
+    for d in range(40):
+        some = [list(x) for x in rng.sample(lines, 4)]
+        some[0][-1] = rng.choice(["changed", some[0][-1]])
+        rows.append({"doc_id": d, "text": "\n".join(" ".join(x) for x in some)})
+    _, component = plain_paragraphs(rows, least=5)
+    gone = {r["doc_id"]: r["removed"] for r in paragraph_dedup.removals(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")).collect()}
+    left = Counter(component[line] for r in rows for i, line in enumerate(r["text"].split("\n")) if i not in gone[r["doc_id"]])
+    assert set(left) == set(component.values()) and set(left.values()) == {1}
+
+
 def test_bands_reach_the_recall():
     for hashes, recall in ((32, 0.999), (64, 0.995)):
         b, r = paragraph_dedup.tune(hashes, 0.8, recall)
