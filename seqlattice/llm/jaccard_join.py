@@ -4,9 +4,11 @@ Each distinct text is the set of its word n-grams, sketched by min-hashes. A run
 root that holds all sets. A node chooses 1/similarity of the sketch's coordinates on average
 (by a hash of its path) and sends each set to the child of its value there: sets that share
 the sampled token stay together. A node of at most ``limit`` sets is a bucket, compared by
-brute force; after ``depth`` levels a larger one is compared in blocks (neardup). A pair of
-exactly the threshold's similarity shares a child with probability 0.84, so that ``runs``
-repetitions reach the target recall; ``runs_for`` derives them.
+brute force. A pair of exactly the threshold's similarity shares a child with probability
+0.84; ``runs_for`` derives the repetitions that reach a recall at a number of levels. The runs
+over all sets are 2 levels deep. The sets of nodes that are larger even then begin anew with
+the runs that ``depth`` levels need, and what is large after those is compared in blocks
+(neardup). Either part may miss half of what the target recall allows.
 
 Edge cases: null and empty texts are equal texts. A text of fewer than n words has no n-gram
 and links to nothing; equal texts are one class whatever their length. Repeated rows are
@@ -28,11 +30,21 @@ from .common import Spans, cut_lineage, mix, mix_int, shingles, text_groups, wor
 from .neardup import components, min_hashes, multipliers, needed, text_id, verify, with_blocks
 
 
-def runs_for(similarity: float, recall: float, levels: int = 2) -> int:
-    """Repetitions after which a pair of this similarity has met in a bucket `levels` deep with probability recall."""
+def runs_for(similarity: float, recall: float, levels: int = 2, size: int = 64) -> int:
+    """Repetitions after which a pair of this similarity has met in a bucket `levels` deep with probability recall.
+
+    The runs share one sketch: the pair agrees in a binomial number of its `size` coordinates.
+    """
     one, rest = divmod(1 / similarity, 1)
-    stay = (1 - rest) * (1 - (1 - similarity) ** one) + rest * (1 - (1 - similarity) ** (one + 1))
-    return math.ceil(math.log(1 - recall) / math.log(1 - stay**levels))
+    cases = []
+    for k in range(size + 1):
+        p, apart = math.comb(size, k) * similarity**k * (1 - similarity) ** (size - k), 1 - k / size
+        stay = (1 - rest) * (1 - apart**one) + rest * (1 - apart ** (one + 1))
+        cases.append((p, 1 - stay**levels))
+    runs = 1
+    while sum(p * miss**runs for p, miss in cases) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def children(path: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +112,10 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
     links (similarity >= threshold); n_links: the different texts that this text links to;
     n_copies: the rows with this text.
     """
-    runs = runs_for(threshold, recall)
     rows = cut_lineage(sketches(docs, id_col, text_col, n, size, seed))
     texts = cut_lineage(rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch")))
     sets = texts.where("sketch is not null").select("id", "sketch")
-    buckets = _buckets(sets, threshold, runs, limit, depth, seed)
+    buckets = _buckets(sets, threshold, recall, size, limit, depth, seed)
     members = buckets.groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("b")).join(sets, "id")
     members = members.select("id", "sketch", F.transform("b", lambda b: b["key"]).alias("keys"), F.explode("b").alias("b")).select("id", "sketch", "keys", "b.key", "b.n")
     deviation = math.sqrt(threshold * (1 - threshold) / size)
@@ -124,8 +135,10 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
     return rows.select("doc_id", "id").join(known, "id").select(F.col("doc_id").alias(id_col), F.col("id").alias("text_id"), "class_key", "class_id", "n_links", "n_copies")
 
 
-def _buckets(sets: DataFrame, similarity: float, runs: int, limit: int, depth: int, seed: int) -> DataFrame:
-    """key, n, id of the memberships of buckets of two sets at least."""
+def _buckets(sets: DataFrame, similarity: float, recall: float, size: int, limit: int, depth: int, seed: int, first_run: int = 0, levels: int = 2) -> DataFrame:
+    """key, n, id of the memberships of buckets of two sets at least; nodes that are large after `levels` are split anew, `depth` deep."""
+    levels = min(levels, depth)
+    runs = runs_for(similarity, (1 + recall) / 2, levels, size)
 
     def split(batches: Iterator[pa.RecordBatch], root: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,14 +146,14 @@ def _buckets(sets: DataFrame, similarity: float, runs: int, limit: int, depth: i
             if not m:
                 continue
             ids, sketch = batch.column(0), _sketch_array(batch.column(1), m)
-            for run in range(runs if root else 1):
+            for run in range(first_run, first_run + runs) if root else (0,):
                 path = np.full(m, mix_int(seed * 1000 + run), np.uint64) if root else batch.column(2).to_numpy().view(np.uint64)
                 at, key = children(path, sketch, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(at))], ["key", "id"])
 
     level = sets.mapInArrow(lambda b: split(b, True), "key long, id long")
     out = None
-    for d in range(depth):
+    for d in range(levels):
         counts = level.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         found = cut_lineage(level.join(counts, "key").select("key", "n", "id"))
         last = d == depth - 1
@@ -148,6 +161,8 @@ def _buckets(sets: DataFrame, similarity: float, runs: int, limit: int, depth: i
         out = here if out is None else out.unionByName(here)
         large = found.where(F.col("n") > limit)
         if last or large.isEmpty():
-            break
-        level = large.join(sets, "id").select("id", "sketch", "key").mapInArrow(lambda b: split(b, False), "key long, id long")
-    return out
+            return out
+        if d < levels - 1:
+            level = large.join(sets, "id").select("id", "sketch", "key").mapInArrow(lambda b: split(b, False), "key long, id long")
+    again = cut_lineage(sets.join(large.select("id").distinct(), "id", "left_semi"))
+    return out.unionByName(_buckets(again, similarity, recall, size, limit, depth, seed, first_run + runs, depth))

@@ -198,6 +198,42 @@ def test_runs_reach_the_recall():
     assert jaccard_join.runs_for(0.8, 0.999) > jaccard_join.runs_for(0.8, 0.9)
 
 
+@pytest.mark.parametrize("n_sets,depth", [(800, 2), (800, 5)])
+def test_pairs_in_large_nodes_meet(spark, n_sets, depth):
+    """Pairs that agree in 0.8 of a sketch's coordinates on average, other sets that share the rest and keep their nodes large."""
+    rng = np.random.default_rng(depth)
+    hub = rng.integers(1, 1 << 31, 64, dtype=np.uint32)
+    left = np.where(rng.random((n_sets, 64)) < 0.97, hub, rng.integers(1, 1 << 31, (n_sets, 64), dtype=np.uint32))
+    right = np.where(rng.random((n_sets, 64)) < 0.8, left, rng.integers(1, 1 << 31, (n_sets, 64), dtype=np.uint32))
+    rows = [(k, bytes(x.astype(np.uint32).tobytes())) for k, x in enumerate(np.concatenate([left, right]))]
+    sets = spark.createDataFrame(rows, "id long, sketch binary")
+    found = jaccard_join._buckets(sets, 0.8, 0.999, 64, 20, depth, 11).toPandas()
+    members = found.groupby("id")["key"].agg(set)
+    missed = sum(not (members.get(k, set()) & members.get(k + n_sets, set())) for k in range(n_sets))
+    assert missed <= 4  # 0.8 of 800 at the recall of 0.999
+
+
+def test_runs_hold_for_the_levels_and_the_sketch():
+    rng = np.random.default_rng(3)
+    for levels in (2, 5):
+        runs = jaccard_join.runs_for(0.8, 0.999, levels)
+        same = rng.random((20000, 64)) < 0.8
+        missed = np.ones(len(same), bool)
+        for _ in range(runs):
+            here = np.ones(len(same), np.int64)
+            for _ in range(levels):  # a node's paths that the pair shares; one is enough
+                some = np.zeros(len(same), np.int64)
+                for path in range(int(here.max(initial=0))):
+                    two = rng.random(len(same)) < 0.25
+                    a = rng.integers(0, 64, len(same))
+                    b = (a + rng.integers(1, 64, len(same))) % 64
+                    every = np.arange(len(same))
+                    some += (path < here) * (same[every, a].astype(int) + (two & same[every, b]))
+                here = some
+            missed &= here == 0
+        assert missed.mean() <= 0.0015
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (300, 200), (7, 7)]
     out = {r["u"]: r["v"] for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
