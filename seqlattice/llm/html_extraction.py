@@ -51,6 +51,15 @@ HINTS = set(
     "comment comments disqus replies respond share sharing social related recommended recommendations".split()
 )
 
+# Hints that are also words of a text's subject. Within an article, where ids and classes
+# may be slugs of a heading, such a name counts only if no word but hints and parts of a page is in it.
+SUBJECTS = set(
+    "header banner menu search form social notice notices notification alert comment comments replies respond share sharing "
+    "related recommended recommendations widget widgets login signup subscribe subscription navigation pagination consent".split()
+)
+PARTS = set("area articles bar block box button buttons container count icon icons inner item items link links list panel posts section slot stories wrap wrapper".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+
 # Words that say what a page has around its article, not what an element is.
 NOT_OF = {"has", "with", "no", "without", "layout"}
 
@@ -77,10 +86,16 @@ def is_aside(name: str, attrs: str, in_article: bool) -> bool:
         return True
     if name in ("html", "body", "main") or name == "article" and not in_article:
         return False
-    for names in (found.get("class", ""), found.get("id", "")):
-        for one in names.split():
+    for kind in ("class", "id"):
+        if in_article and kind == "id" and name in HEADINGS:
+            continue
+        for one in found.get(kind, "").split():
             said = [w.lower() for w in WORD.findall(one)]
-            if NOT_OF.isdisjoint(said) and any(w in HINTS and not (in_article and w == "header") for w in said):
+            whole = all(w in HINTS or w in PARTS for w in said)
+            hints = {w for w in said if w in HINTS and not (in_article and w == "header")}
+            if in_article and not whole:
+                hints -= HINTS if kind == "id" else SUBJECTS
+            if NOT_OF.isdisjoint(said) and hints:
                 return True
     return False
 

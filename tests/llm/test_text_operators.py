@@ -266,6 +266,11 @@ def test_adverts_within_a_line_go():
     assert html_extraction.text_of(html_extraction.blocks_of(html), set())[0] == "Six seven\n\neight\n\nnine"
 
 
+def test_slugs_of_headings_stay():
+    page = PAGE % '<article><h2 id="related-work">Related work</h2><h2 id="search">Search</h2><section id="social-policy"><p class="form-of-verse">Policy</p></section><div class="share-buttons">Tell</div><div id="comments">Said</div><div class="related-posts">More</div><p class="google-ad">Buy</p></article>'
+    assert html_extraction.text_of(html_extraction.blocks_of(page), set())[0].split("\n\n") == ["Related work", "Search", "Policy"]
+
+
 def test_common_lines_are_longest():
     rng = random.Random(0)
     for _ in range(500):
