@@ -7,6 +7,7 @@ Python is paid per group and not per word.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +28,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder of ``spark.checkpoint.dir`` and returns it read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir`` that this session writes to.
 
-    A folder is chosen here only where the session names none, as in tests.
+    One is chosen here only where the session names none and all runs on one machine, as in
+    tests.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and returns it read back; Spark removes it with the last reference where it is told to."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder as a table, compressed and to be read by columns, and returns it read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser on an array of uint64."""
     x = x ^ (x >> np.uint64(30))
@@ -57,18 +75,44 @@ def mix_int(x: int) -> int:
     return x ^ (x >> 31)
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The Mersenne prime 2**31 - 1 and two bases below it.
+PRIME = (1 << 31) - 1
+BASES = (0x3C6EF372, 0x1F83D9AB)
 
+_short: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_long: list[np.ndarray] = [np.ones(1, np.uint64)] * 4
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _powers_short(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
-    if len(_powers[0]) < n:
+    if len(_short[0]) < n:
         size = max(n, GROUP_BYTES + 4096)
         for k, base in enumerate((BASE, BASE_INV)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
+            _short[k] = np.multiply.accumulate(table)
+    return _short[0], _short[1]
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**62."""
+    p = np.uint64(PRIME)
+    x = (x & p) + (x >> np.uint64(31))
+    x = (x & p) + (x >> np.uint64(31))
+    return np.where(x >= p, x - p, x)
+
+
+def _powers_long(n: int) -> list[np.ndarray]:
+    """For each of BASES its powers and those of its inverse modulo PRIME, n of each at least."""
+    if len(_long[0]) < n:
+        size = 1 << (max(n, GROUP_BYTES + 4096) - 1).bit_length()
+        for k, base in enumerate(x for b in BASES for x in (b, pow(b, -1, PRIME))):
+            table, have = np.ones(size, np.uint64), 1
+            while have < size:  # the second half is the first one times a power
+                table[have : 2 * have] = _reduced(table[:have] * np.uint64(pow(base, have, PRIME)))
+                have *= 2
+            _long[k] = table
+    return _long
 
 
 def text_groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -95,18 +139,82 @@ def text_groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[in
         first = after
 
 
-class Spans:
-    """Hashes of byte spans of one array: equal spans have equal hashes, others differ but for 2**-64."""
+class ShortSpans:
+    """Hashes of spans of at most ``MOST`` items, a polynomial modulo 2**64.
+
+    Longer spans are refused: from 1,024 items on there are texts (Thue and Morse's) that
+    every such polynomial takes for equal.
+    """
+
+    MOST = 512
 
     def __init__(self, data: np.ndarray):
-        up, self._down = powers(len(data) + 1)
+        up, self._down = _powers_short(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self._sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(start) and int((end - start).max()) > self.MOST:
+            raise ValueError(f"a span is longer than {self.MOST}")
         return mix((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(np.uint64) * np.uint64(GOLDEN))
 
 
+class Spans:
+    """Hashes of spans of any length: two polynomials modulo a prime, 62 bits together.
+
+    Equal spans have equal hashes. Unequal ones of n items may share theirs, for texts chosen
+    without regard to the bases with a chance of about (n / 2**31)**2 at most; where equality
+    decides a result, callers compare the bytes (names_of).
+    """
+
+    def __init__(self, data: np.ndarray):
+        tables = _powers_long(len(data) + 1)
+        whole, p = data.astype(np.uint64) + np.uint64(1), np.uint64(PRIME)
+        self._sums, self._down = [], [tables[1], tables[3]]
+        for up in (tables[0], tables[2]):
+            term = whole * up[: len(data)]
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((term & p) + (term >> np.uint64(31)), out=sums[1:])
+            self._sums.append(sums)
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        one, two = (_reduced(_reduced(s[end] - s[start]) * d[start]) for s, d in zip(self._sums, self._down))
+        return mix((one << np.uint64(31) | two) + (end - start).astype(np.uint64) * np.uint64(GOLDEN))
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, at_once: int = 1 << 21) -> np.ndarray:
+    """Whether data[a[i]:a[i] + size[i]] equals data[b[i]:b[i] + size[i]], by the bytes."""
+    out, total = np.ones(len(a), bool), np.cumsum(size)
+    first = 0
+    while first < len(a):
+        done = int(total[first - 1]) if first else 0
+        after = max(first + 1, int(np.searchsorted(total, done + at_once, side="right")))
+        n = size[first:after]
+        if after == first + 1:
+            out[first] = np.array_equal(data[a[first] : a[first] + n[0]], data[b[first] : b[first] + n[0]])
+        else:
+            who = np.repeat(np.arange(first, after), n)
+            step = np.arange(len(who)) - np.repeat(total[first:after] - n - done, n)
+            out[who[data[a[who] + step] != data[b[who] + step]]] = False
+        first = after
+    return out
+
+
+def names_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name of each span, a span of each name): equal names if and only if equal bytes."""
+    _, first, name = np.unique(Spans(data).hash(start, end), return_index=True, return_inverse=True)
+    size, other = end - start, np.flatnonzero(first[name] != np.arange(len(name)))
+    head = first[name[other]]
+    same = size[other] == size[head]
+    same[same] = same_spans(data, start[other][same], start[head][same], size[other][same])
+    if not same.all():  # one hash for unequal spans: those are named by their bytes
+        odd = np.flatnonzero(np.isin(name, name[other[~same]]))
+        known: dict[bytes, int] = {}
+        name[odd] = [len(first) + known.setdefault(data[start[k] : end[k]].tobytes(), len(known)) for k in odd]
+        _, first, name = np.unique(name, return_index=True, return_inverse=True)
+    return name, first
+
+
 #: The bytes that end a word (space and the ASCII controls tab to carriage return).
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
@@ -157,7 +265,3 @@ def shingles(word_hash: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray
 
 def per_row(row: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(row, weights, minlength=n)
-
-
-def batched(rows: list[dict] | dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(rows, schema=schema) if isinstance(rows, dict) else pa.RecordBatch.from_pylist(rows, schema=schema)
