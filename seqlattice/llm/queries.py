@@ -43,7 +43,7 @@ def learnable(id_col: str) -> Column:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels"), learnable("id")))
-    return scored.select("doc_id", (~learnable("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", (~learnable("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,9 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = paragraph_dedup.removals(read_table(spark, sf_dir, "documents"), least_words=1)
-    return out.select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in")
+    out = paragraph_dedup.removals(read_table(spark, sf_dir, "documents"))
+    words = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return out.select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), words.alias("n_removed_words"), "removed", "kept_in")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
