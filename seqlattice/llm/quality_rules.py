@@ -1,15 +1,17 @@
 """Quality rules: word and line rules, then a hashed n-gram likelihood ratio.
 
-Two multinomials over hashed byte n-grams are counted: one over the trusted target (a
-bounded, hash-chosen sample of rows labelled good) and one over the whole raw corpus. A
+Two multinomials over hashed byte n-grams are counted: one over the trusted target (all rows
+labelled good) and one over the whole raw corpus. A
 document's score is its log-likelihood under the first less that under the second, divided
 by its number of n-grams; every document is held against one fixed threshold. Byte n-grams
 rather than word n-grams: one shared bucket space then serves texts of any script and words
 never seen before.
 
 Edge cases: a null or empty text has no words and no n-grams, scores 0 and fails the base
-rules. Repeated rows and ids are each judged on their own. An empty table gives an empty
-result; with no trusted rows every ratio is 1 and only the base rules decide. Of the input
+rules. Repeated rows and ids are each judged on their own; every row of a trusted id counts
+for the target. Words and lines are equal if their bytes are. Texts of any length are counted
+whole. An empty table gives an empty result; with no trusted rows every ratio is 1 and only
+the base rules decide; null ids and labels are not trusted. Of the input
 only the named id and text columns are read, so other columns may have any name.
 """
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, lines_of, mix, per_row, shingles, text_groups, words_of
+from .common import lines_of, mix, names_of, per_row, shingles, text_groups, words_of
 
 #: The symbols that the symbol count counts.
 SYMBOLS = np.zeros(256, bool)
@@ -32,17 +34,18 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters. order: bytes of an n-gram; bits: 2**bits buckets; trusted_rows: the most labelled
-    rows that the target is counted from; prior: pseudo-counts that draw a bucket's ratio to 1."""
+    """Parameters. order: bytes of an n-gram; bits: 2**bits buckets; prior: pseudo-counts that draw
+    a bucket's ratio to 1; broadcast_ids: up to so many trusted ids are broadcast, more are joined
+    by a shuffle (with the same counts)."""
 
     order: int = 3
     bits: int = 16
-    trusted_rows: int = 20_000
     prior: float = 5.0
     threshold: float = -0.4
     least_words: int = 10
     most_repeat_percent: int = 20
     window: int = 5
+    broadcast_ids: int = 500_000
 
 
 def buckets_of(data: np.ndarray, at: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
@@ -62,14 +65,13 @@ def buckets_of(data: np.ndarray, at: np.ndarray, rules: Rules) -> tuple[np.ndarr
 def base_counts(data: np.ndarray, at: np.ndarray, rules: Rules) -> dict[str, np.ndarray]:
     n = len(at) - 1
     start, end, row = words_of(data, at)
-    spans = Spans(data)
     n_words = per_row(row, n)
     begins = np.cumsum(np.concatenate([[0], (data & 0xC0) != 0x80]))
     chars = per_row(row, n, begins[end] - begins[start]).astype(np.int64)
     symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
-    word = spans.hash(start, end)
-    first, gram = shingles(word, row, rules.window)
-    covered = np.zeros(len(word) + 1, np.int64)
+    word, _ = names_of(data, start, end)
+    first, gram = shingles(mix(word.astype(np.uint64) + np.uint64(1)), row, rules.window)
+    covered = np.zeros(len(row) + 1, np.int64)
     if len(first):
         key = mix(gram + row[first].astype(np.uint64))
         order = np.argsort(key)
@@ -85,7 +87,8 @@ def base_counts(data: np.ndarray, at: np.ndarray, rules: Rules) -> dict[str, np.
     word_before = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=len(data)))]) if len(data) else np.zeros(1, np.int64)
     full = word_before[line_end] > word_before[line_start]
     line_start, line_end, line_row = line_start[full], line_end[full], line_row[full]
-    _, back = np.unique(mix(spans.hash(line_start, line_end) + line_row.astype(np.uint64)), return_index=True)
+    line, firsts = names_of(data, line_start, line_end)
+    _, back = np.unique(line_row * max(len(firsts), 1) + line, return_index=True)
     return {
         "n_words": n_words,
         "word_chars": chars,
@@ -118,13 +121,11 @@ class Ratio:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ratio:
-    """Counts both multinomials in one pass over all of docs.
-
-    The trusted ids are at most rules.trusted_rows of those labelled 1, in hash order, so
-    broadcasting them is bounded; what is collected is one row a bucket.
-    """
-    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(rules.trusted_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(trusted.withColumn("trusted", F.lit(True))), "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    """Counts both multinomials in one pass over all of docs; what is collected is one row a bucket."""
+    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(True))
+    if trusted.limit(rules.broadcast_ids + 1).count() <= rules.broadcast_ids:
+        trusted = F.broadcast(trusted)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted, "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     size = 1 << rules.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
