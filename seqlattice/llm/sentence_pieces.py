@@ -7,13 +7,14 @@ score less 10, and becomes its byte pieces. Decoding joins the pieces, turns mar
 spaces and byte pieces into bytes, and drops the marker put before the text.
 
 No piece but runs of markers crosses the start of a marked word, so a text's best segmentation
-is that of its words, and a word that recurs within a group of texts is segmented once. The
+is that of its words, and a word that recurs (byte for byte) within a group of texts is segmented once. The
 words of a group are segmented together, one step of the trie for all words at a time; a word
 longer than ``LONG`` bytes is segmented by itself, in time linear in its length.
 
 The public models hold ranks of merges in place of log scores; ``zipf_scores`` gives the piece
-of rank r the log score of Zipf's law, -ln(r + 1) less the log of their sum. The log scores of
-a true unigram model are used as they are.
+of rank r the log score of Zipf's law, -ln(r + 1) less the log of their sum. ``Pieces.load``
+does so for a model whose scores are such ranks; log scores of a true unigram model are used
+as they are.
 
 Edge cases: a null or empty text has no ids and decodes to an empty text. A marker character
 in the input is white space, as in the library. Control pieces are never made and decode to
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Spans, text_groups
+from .common import names_of, text_groups
 
 MARKER = "▁"
 LONG = 64
@@ -119,7 +120,8 @@ class Pieces:
         return cls(DoubleArray.build(keys), scores.astype(np.float32), byte_ids, np.frombuffer(b"".join(shown), np.uint8), np.cumsum([0, *map(len, shown)]))
 
     @classmethod
-    def load(cls, path: str, zipf: bool = True) -> Pieces:
+    def load(cls, path: str, zipf: bool | None = None) -> Pieces:
+        """zipf: whether scores are ranks; if None, where all are whole numbers."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -128,6 +130,8 @@ class Pieces:
         byte_of = np.array([int(p[3:5], 16) if model.is_byte(i) else -1 for i, p in enumerate(pieces)])
         normal = np.array([not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) for i in range(n)])
         scores = np.array([model.get_score(i) for i in range(n)])
+        if zipf is None:
+            zipf = np.array_equal(scores[normal], np.round(scores[normal]))
         if zipf:
             ranks = np.zeros(n)
             ranks[normal] = np.arange(normal.sum())
@@ -244,7 +248,7 @@ def encode_group(p: Pieces, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     first[at[:-1][np.diff(at) > 0]] = True
     start = np.flatnonzero(first)
     end = np.append(start[1:], len(data))
-    _, where, back = np.unique(Spans(data).hash(start, end), return_index=True, return_inverse=True)
+    back, where = names_of(data, start, end)
     begin, size = start[where], end[where] - start[where]
     counts = np.zeros(len(where), np.int64)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
