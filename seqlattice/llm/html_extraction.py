@@ -4,20 +4,25 @@ A page is read into text blocks ("lines"); a block knows whether it stands in an
 whether an element around it is a menu, header, footer, sidebar, notice, advert, form or
 reader comment. Pages of a host are then set in the order of their URL paths, each is paired
 with the nearer of its two neighbours, the pair's lines are aligned by longest common
-subsequence, and the lines that both share are deleted.
+subsequence, and the lines that both share are deleted from the candidates: the blocks of the
+article, or of the page where it marks none.
 
-What differencing may delete is bounded by what it can know. Lines in an element that the page
-itself marks as its article stay, as two articles may quote the same passage; a pair that
-shares over half of its text is a pair of copies, which says nothing of the template, and
-deletes nothing. So differencing decides in pages without such a mark.
+What differencing may delete is bounded by what it can know. A pair that shares over half of
+its text is a pair of copies, which says nothing of the template, and deletes nothing. Within
+an element that the page itself marks as its article a shared line goes only if it stands
+within the article on more than half of the host's pages and on ``least_pages`` at least, as
+two articles may quote the same passage; elsewhere every shared line goes.
 
-Only hashes of lines are sorted by host and path, so that a host with a third of all pages is
-many partitions; the first and last row of each partition are the only thing that is gathered.
+A page is parsed once; its candidate blocks are written to the shared folder. Only hashes of
+lines are sorted by host and path, so that a host with a third of all pages is many
+partitions; the rows at the ends of a partition are sent to its neighbours as well, and the
+driver learns only which partitions hold rows.
 
 Edge cases: null or empty html gives an empty text; a null or odd URL is a host of its own
 and a path as it stands. Repeated rows are pages of their own, and copies of each other.
 An empty table gives an empty result. Only the named columns are read. Pages of any size are
-read whole, in time linear in their length but for the alignment (lines squared / 64).
+read whole, in time linear in their length but for the alignment (lines squared / 64); a quote
+that is never closed ends with its tag.
 """
 
 from __future__ import annotations
@@ -27,13 +32,14 @@ from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, stored
 
 # Element names by their part in a page.
 RAW = "script style noscript template iframe textarea title svg math canvas object select datalist audio video noframes noembed".split()
@@ -63,10 +69,13 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # Words that say what a page has around its article, not what an element is.
 NOT_OF = {"has", "with", "no", "without", "layout"}
 
+# No alternative can fail after its name, so nothing is scanned twice; a quote that is never closed ends at the next >.
+REST = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
+CLOSE = r"""(?:>|\Z|["'][^>]*+(?:>|\Z))"""
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])" + REST + CLOSE + r".*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>" + REST + ")" + CLOSE,
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -100,24 +109,85 @@ def is_aside(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+class Open:
+    """The open elements that are not inline, innermost last; each step takes constant time."""
+
+    BESIDE = ("nav", "header", "footer", "head", "menu", "form", "button")
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.own: list[bool] = []  # whether the element itself is beside the article
+        self.aside: list[bool] = []  # whether it or one around it is
+        self.article: list[int] = []
+        self.count: dict[str, int] = {}
+        self.beside: list[int] = []  # places of the elements that no article stands in
+
+    def push(self, name: str, off: bool, article: int) -> None:
+        if name in self.BESIDE:
+            self.beside.append(len(self.names))
+        self.names.append(name)
+        self.own.append(off)
+        self.aside.append(off or self.in_aside)
+        self.article.append(article)
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def cut(self, k: int) -> None:
+        """Closes the elements from place k on."""
+        for name in self.names[k:]:
+            self.count[name] -= 1
+        for x in (self.names, self.own, self.aside, self.article):
+            del x[k:]
+        while self.beside and self.beside[-1] >= k:
+            self.beside.pop()
+
+    def close(self, name: str) -> None:
+        if self.count.get(name):
+            k = len(self.names) - 1
+            while self.names[k] != name:
+                k -= 1
+            self.cut(k)
+
+    def only_named(self) -> None:
+        """What an element's class or id said no longer counts, only its name."""
+        self.own = [x and n in ASIDE for n, x in zip(self.names, self.own)]
+        self.aside, below = [], False
+        for x in self.own:
+            below = below or x
+            self.aside.append(below)
+
+    @property
+    def last(self) -> str:
+        return self.names[-1] if self.names else ""
+
+    @property
+    def in_aside(self) -> bool:
+        return bool(self.aside) and self.aside[-1]
+
+    @property
+    def in_article(self) -> int:
+        return self.article[-1] if self.article else 0
+
+
 def blocks_of(html: str) -> list[tuple[str, int, bool]]:
     """(text, number of the outermost article or main it stands in or 0, aside) of each block, in page order."""
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements that are not inline: name, aside, article
-    aside, article, articles, last = False, 0, 0, 0
+    stack = Open()
+    articles, last = 0, 0
 
     held: list[list[str]] = []  # the text before each open inline element that is beside the article
     inline: list[tuple[str, bool]] = []  # inline elements open since the first of those
+    inside: dict[str, int] = {}  # how many of them have a name
 
     def flush() -> None:
         if held:  # such an element ends with its block at the latest
             text[:] = held[0]
             held.clear()
             inline.clear()
+            inside.clear()
         if text:
             if block := " ".join(unescape("".join(text)).split()):
-                out.append((block, article, aside))
+                out.append((block, stack.in_article, stack.in_aside))
             text.clear()
 
     for m in TAG.finditer(html):
@@ -139,49 +209,44 @@ def blocks_of(html: str) -> list[tuple[str, int, bool]]:
             elif name in VOID:
                 pass
             elif m["end"]:
-                if (name, True) in inline or (name, False) in inline:
-                    k = max(i for i, x in enumerate(inline) if x[0] == name)
-                    if gone := sum(x[1] for x in inline[k:]):
+                if inside.get(name):
+                    gone, ended = 0, ""
+                    while ended != name:
+                        ended, off = inline.pop()
+                        inside[ended] -= 1
+                        gone += off
+                    if gone:
                         text[:] = held[-gone]
                         del held[-gone:]
-                    del inline[k:]
             elif not m["attrs"].endswith("/"):
-                off = bool(m["attrs"]) and is_aside(name, m["attrs"], article > 0)
+                off = bool(m["attrs"]) and is_aside(name, m["attrs"], stack.in_article > 0)
                 if off:
                     held.append(list(text))
                     text.clear()
                 if held:
                     inline.append((name, off))
+                    inside[name] = inside.get(name, 0) + 1
             continue
         flush()
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            aside, article = any(x[1] for x in stack), stack[-1][2] if stack else 0
+            stack.close(name)
             continue
-        if stack and stack[-1][0] == "p":  # a block ends a paragraph, an item the one before it
-            stack.pop()
-        if stack and stack[-1][0] == name and name in ("li", "dt", "dd", "tr"):
-            stack.pop()
-        if name in ("article", "main", "body") and not article:
-            for k, x in enumerate(stack):  # an unclosed menu or header doesn't reach into the article
-                if x[0] in ("nav", "header", "footer", "head", "menu", "form", "button"):
-                    del stack[k:]
-                    break
+        if stack.last == "p":  # a block ends a paragraph, an item the one before it
+            stack.cut(len(stack.names) - 1)
+        if stack.last == name and name in ("li", "dt", "dd", "tr"):
+            stack.cut(len(stack.names) - 1)
+        if name in ("article", "main", "body") and not stack.in_article and stack.beside:
+            stack.cut(stack.beside[0])  # an unclosed menu or header doesn't reach into the article
         if m["attrs"].endswith("/"):
             continue
-        off = is_aside(name, m["attrs"], article > 0)
+        off = is_aside(name, m["attrs"], stack.in_article > 0)
+        article = stack.in_article
         if name in ("article", "main") and not articles and not off:  # what holds the first article is not beside it
-            stack = [(n, x and n in ASIDE, a) for n, x, a in stack]
-        if name in ("article", "main") and not article and not off and not any(x[1] for x in stack):
+            stack.only_named()
+        if name in ("article", "main") and not article and not off and not stack.in_aside:
             articles += 1
             article = articles
-        elif stack:
-            article = stack[-1][2]
-        stack.append((name, off, article))
-        aside = any(x[1] for x in stack)
+        stack.push(name, off, article)
     text.append(html[last:])
     flush()
     return out
@@ -254,99 +319,131 @@ def nearer(path: str, before: str | None, after: str | None) -> int:
     return 0 if x < 0 and y < 0 else -1 if x >= y else 1
 
 
-def text_of(blocks: list[tuple[str, int, bool]], shared: set[int]) -> tuple[str, bool]:
-    """(text, whether the page marks its article): a marked page's text doesn't depend on shared."""
+def candidates(blocks: list[tuple[str, int, bool]]) -> tuple[list[int], bool]:
+    """(places of the blocks that may be the page's text, whether the page marks its article)."""
     own = marked(blocks)
     if own:
-        return "\n\n".join(b for b, article, aside in blocks if article in own and not aside), True
-    return "\n\n".join(b for k, (b, _, aside) in enumerate(blocks) if not aside and k not in shared), False
+        return [k for k, (_, article, aside) in enumerate(blocks) if article in own and not aside], True
+    return [k for k, (_, _, aside) in enumerate(blocks) if not aside], False
 
 
 def line_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, host, path, hashes and lengths (0 in an element around the article) of the lines, whether the page marks no article."""
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows(page_id, url, key, html) the columns of PARSED: lines and sizes (0 beside the article) of
+    all blocks, the places and texts of the candidates, whether the page marks its article."""
     for batch in batches:
-        out: list[tuple] = []
-        for key, url, html in zip(*(c.to_pylist() for c in batch.columns)):
-            blocks = blocks_of(html)
-            out.append((key, *host_and_path(url), [line_hash(b) for b, _, _ in blocks], [0 if aside else len(b) for b, _, aside in blocks], not marked(blocks)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_()))], ["key", "host", "path", "lines", "sizes", "plain"])
+        for first in range(0, batch.num_rows, ROWS_PARSED):
+            part = batch.slice(first, ROWS_PARSED)
+            out: list[tuple] = []
+            for key, url, html in zip(*(part.column(k).to_pylist() for k in (2, 1, 3))):
+                blocks = blocks_of(html)
+                places, article = candidates(blocks)
+                out.append((key, *host_and_path(url), [line_hash(b) for b, _, _ in blocks], [0 if aside else len(b) for b, _, aside in blocks], places, [blocks[k][0] for k in places], article))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["page_id", "url", "key", "host", "path", "lines", "sizes", "places", "texts", "article"])
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last row of a partition."""
-    first = last = None
-    for batch in batches:
-        if batch.num_rows:
-            first = first or batch.slice(0, 1)
-            last = batch.slice(batch.num_rows - 1)
-    if first:
-        both = pa.Table.from_batches([first, last]).append_column("part", pa.array([TaskContext.get().partitionId()] * 2, pa.int32()))
-        yield from both.to_batches()
+ROWS_PARSED = 1024
+PARSED = "page_id {}, url string, key long, host string, path string, lines array<long>, sizes array<int>, places array<int>, texts array<string>, article boolean"
+LINES = ["key", "host", "path", "lines", "sizes", "places", "article"]
 
 
 def shared_lines(before: tuple | None, row: tuple, after: tuple | None, copies: float) -> list[int]:
-    """The places of row's lines that its nearest page shares; rows are (key, host, path, lines, sizes, plain)."""
+    """The places of row's lines that its nearest page shares; rows are of LINES and common."""
     before = before if before and before[1] == row[1] else None
     after = after if after and after[1] == row[1] else None
     side = nearer(row[2], before and before[2], after and after[2])
     if not side or not row[3]:
         return []
     found = common_lines(row[3], (before if side < 0 else after)[3])
-    return [] if sum(row[4][k] for k in found) > copies * sum(row[4]) else found
+    if sum(row[4][k] for k in found) > copies * sum(row[4]):
+        return []
+    may = set(row[5])
+    if row[6]:
+        common = set(row[7] or ())
+        may = {k for k in may if row[3][k] in common}
+    return [k for k in found if k in may]
 
 
-def difference(lines: DataFrame, copies: float) -> DataFrame:
-    """key, shared (places of lines to delete) of the pages that mark no article."""
-    ordered = cut_lineage(lines.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key"))
-    ends = ordered.mapInArrow(_ends, "key long, host string, path string, lines array<long>, sizes array<int>, plain boolean, part int").collect()
-    parts: dict[int, list[tuple]] = {}
-    for r in ends:
-        parts.setdefault(r["part"], []).append(tuple(r)[:6])
-    order = sorted(parts)
-    around = {p: (parts[order[k - 1]][1] if k else None, parts[order[k + 1]][0] if k + 1 < len(order) else None) for k, p in enumerate(order)}
+def common_in_host(lines: DataFrame, least_pages: int) -> DataFrame:
+    """host, common: the lines within marked articles of over half of a host's pages, and of least_pages at least.
+
+    They are at most twice the lines of the host's mean page.
+    """
+    pages = lines.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    own = F.array_distinct(F.transform("places", lambda k: F.get("lines", k)))
+    counts = lines.where("article").select("host", F.explode(own).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    return counts.join(pages, "host").where("2 * n > pages").groupBy("host").agg(F.collect_list("line").alias("common"))
+
+
+def difference(lines: DataFrame, copies: float, least_pages: int = 4) -> DataFrame:
+    """key, shared (places of candidate lines to delete, one at least) of rows of LINES."""
+    lines = lines.select(*LINES).join(common_in_host(lines, least_pages), "host", "left").select(*LINES, "common")
+    kinds = "key long, host string, path string, lines array<long>, sizes array<int>, places array<int>, article boolean, common array<long>"
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            yield batch.append_column("part", pa.array(np.full(batch.num_rows, part, np.int32)))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for batch in batches:
+            if batch.num_rows:
+                first = first or batch.slice(0, 1)
+                last = batch.slice(batch.num_rows - 1)
+        if first:
+            yield from (first.append_column("last", pa.array([False])), last.append_column("last", pa.array([True])))
+
+    ordered = cut_lineage(lines.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key").mapInArrow(numbered, kinds + ", part int"))
+    edge = cut_lineage(ordered.mapInArrow(ends, kinds + ", part int, last boolean"))
+    order = sorted(r["part"] for r in edge.where("last").select("part").collect())
+    if len(order) > 1:
+        to = {(p, last): order[k + (1 if last else -1)] for k, p in enumerate(order) for last in (False, True) if 0 <= k + (1 if last else -1) < len(order)}
+        sent = lines.sparkSession.createDataFrame([(p, last, q) for (p, last), q in to.items()], "part int, last boolean, to int")
+        ghosts = edge.join(F.broadcast(sent), ["part", "last"]).drop("part", "last").withColumnRenamed("to", "part").withColumn("ghost", F.lit(True))
+        ordered = ordered.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition("part").sortWithinPartitions("part", "host", "path", "key", "ghost")
+    else:
+        ordered = ordered.withColumn("ghost", F.lit(False)).sortWithinPartitions("part", "host", "path", "key")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, after = around.get(TaskContext.get().partitionId(), (None, None))
-        row, out = None, []
+        before = row = None
+        out: list[tuple] = []
+
+        def judge(after: tuple | None) -> None:
+            if row and not row[9]:
+                around = (x if x and x[8] == row[8] else None for x in (before, after))
+                if found := shared_lines(next(around), row, next(around), copies):
+                    out.append((row[0], found))
 
         def batch_of() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.int32()))], ["key", "shared"])
 
         for batch in batches:
             for then in zip(*(c.to_pylist() for c in batch.columns)):
-                if row and row[5]:
-                    out.append((row[0], shared_lines(before, row, then, copies)))
-                before, row = row or before, then
+                judge(then)
+                before, row = row, then
             yield batch_of()
             out.clear()
-        if row and row[5]:
-            out.append((row[0], shared_lines(before, row, after, copies)))
-            yield batch_of()
+        judge(None)
+        yield batch_of()
 
     return ordered.mapInArrow(pair, "key long, shared array<int>").groupBy("key").agg(F.min("shared").alias("shared"))
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copies: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copies: float = 0.5, least_pages: int = 4) -> DataFrame:
     """id, url, text of every row of pages. copies: the share of text above which a pair is of copies."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.xxhash64("page_id", F.col("page_id").isNull(), "url", F.col("url").isNull(), "html"))
-    masks = cut_lineage(difference(rows.select("key", "url", "html").mapInArrow(_lines, "key long, host string, path string, lines array<long>, sizes array<int>, plain boolean"), copies))
-
-    def read(batches: Iterator[pa.RecordBatch], plain: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shared = batch.column(3).to_pylist() if plain else [()] * batch.num_rows
-            found = [text_of(blocks_of(html), set(s)) for html, s in zip(batch.column(2).to_pylist(), shared)]
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in found], pa.string())], ["page_id", "url", "text"])
-            yield out if plain else out.filter(pa.array([m for _, m in found], pa.bool_()))
-
-    schema = f"page_id {kind}, url string, text string"
-    out = rows.select("page_id", "url", "html").mapInArrow(lambda b: read(b, False), schema)
-    if not masks.isEmpty():
-        out = out.unionByName(rows.join(masks, "key").select("page_id", "url", "html", "shared").mapInArrow(lambda b: read(b, True), schema))
-    return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text")
+    parsed = stored(rows.select("page_id", "url", "key", "html").mapInArrow(_parsed, PARSED.format(kind)))
+    masks = cut_lineage(difference(parsed.select(*LINES), copies, least_pages))
+    if masks.isEmpty():
+        kept = F.col("texts")
+    else:
+        parsed = parsed.join(masks, "key", "left")
+        kept = F.when(F.col("shared").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda _, k: ~F.array_contains("shared", F.get("places", k))))
+    return parsed.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), F.array_join(kept, "\n\n").alias("text"))
