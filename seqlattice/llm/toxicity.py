@@ -8,13 +8,16 @@ those sequences. Forward-backward gives every token of a text its marginal; a do
 is a logistic function of its largest marginal and of the sum of them, fitted to the labels,
 and its spans are the runs of tokens whose marginal is at least 1/2.
 
-Rows are fitted on at most ``rows_per_class`` documents a class, in hash order (the documented
-bound); every text is scored whole. Language, source and id are no inputs.
+Rows are fitted on at most ``rows_per_class`` documents a class, in hash order, and of these on
+texts of at most ``most_bytes`` (the documented bounds); every text is scored whole. Language,
+source and id are no inputs.
 
 Edge cases: a null or empty text has no tokens and the score of a text without toxic tokens.
-Repeated rows are scored each; a document with conflicting labels counts as toxic; labels
-without a document, null labels and null ids are ignored. Without labels of both classes the
-score is the share of marked labels (0 without any). Only the named columns are read.
+Repeated rows are scored each; a document with conflicting labels counts as toxic; of texts
+that share an id the smallest is learnt from; labels without a document, null labels and null
+ids are ignored. Without labels of both classes the score is the share of marked labels (0
+without any). A text of any length is scored in some thousand vectorised steps. Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from .common import GOLDEN, Spans, mix, text_groups
 
 PREFIXES = (3, 4, 5, 6, 7)
 TAG_BYTES = 6 << 20  # of text whose tokens are held at a time
+TOKENS = 1 << 19  # whose features are
 MOST = 30.0  # bound of a token's log odds, which keeps the recursions finite
 
 #: Token bytes: ASCII letters and digits, and all bytes of other characters.
@@ -61,14 +65,67 @@ def features_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np
     return out
 
 
-def in_steps(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For t = 0, 1, ...: the sequences longer than t, longest first, and the places of their t-th items."""
-    size = np.diff(at)
+def in_steps(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For t = 0, 1, ...: the runs first[i]..first[i]+size[i] longer than t, longest first, and the places of their t-th items."""
     order = np.argsort(-size, kind="stable")
-    first, left = at[:-1][order], np.sort(size)
+    left = np.sort(size)
     n = len(size) - np.searchsorted(left, np.arange(left[-1] if len(left) else 0), side="right")
     for t, k in enumerate(n):
-        yield order[:k], first[:k] + t
+        yield order[:k], first[order[:k]] + t
+
+
+def odds_along(odds: np.ndarray, at: np.ndarray, a: np.ndarray, begin: float, stretch: int = 512) -> np.ndarray:
+    """f of every item of the sequences odds[at[i]:at[i+1]]: odds * begin for a first one, else
+    odds * (a[0, 1] + a[1, 1] * g) / (a[0, 0] + a[1, 0] * g), where g is the f of the item before.
+
+    Each step is a 2 x 2 matrix on (f, 1) up to a factor, so a long sequence is cut into
+    stretches whose products are taken side by side: twice ``stretch`` steps and one a stretch.
+    """
+    size = np.diff(at)
+    parts = -(-size // stretch)
+    row = np.repeat(np.arange(len(size)), parts)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = at[:-1][row] + number * stretch
+    length = np.minimum(size[row] - number * stretch, stretch)
+    out, g = np.empty(len(odds)), np.empty(len(row))
+
+    def along(who: np.ndarray) -> None:
+        last = np.empty(0)
+        for t, (k, place) in enumerate(in_steps(first[who], length[who])):
+            if t:
+                g_now = last[: len(place)]
+                now = odds[place] * (a[0, 1] + a[1, 1] * g_now) / (a[0, 0] + a[1, 0] * g_now)
+            else:
+                k = who[k]
+                now = odds[place] * np.where(number[k] == 0, begin, (a[0, 1] + a[1, 1] * g[k]) / (a[0, 0] + a[1, 0] * g[k]))
+            out[place] = last = np.minimum(now, 1e30)
+
+    along(np.flatnonzero(number == 0))
+    later = np.flatnonzero(number > 0)
+    if not len(later):
+        return out
+    m = np.empty((len(row), 2, 2))
+    inner = later[number[later] + 1 < parts[row[later]]]  # the last stretch leads to no other
+    product = np.empty((0, 2, 2))
+    for t, (k, place) in enumerate(in_steps(first[inner], length[inner])):
+        o = odds[place]
+        if t:
+            p = product[: len(place)]
+            top = o[:, None] * (a[1, 1] * p[:, 0] + a[0, 1] * p[:, 1])
+            low = a[1, 0] * p[:, 0] + a[0, 0] * p[:, 1]
+            product = np.stack([top, low], axis=1)
+        else:
+            product = np.stack([np.stack([o * a[1, 1], o * a[0, 1]], axis=1), np.broadcast_to([a[1, 0], a[0, 0]], (len(o), 2))], axis=1)
+        product /= product.max(axis=(1, 2))[:, None, None]
+        m[inner[k]] = product
+    second = later[number[later] == 1]
+    g[second] = out[first[second] - 1]
+    for k in range(2, int(parts.max())):
+        now = later[number[later] == k]
+        f, x = g[now - 1], m[now - 1]
+        g[now] = np.minimum((x[:, 0, 0] * f + x[:, 0, 1]) / (x[:, 1, 0] * f + x[:, 1, 1]), 1e30)
+    along(later)
+    return out
 
 
 @dataclass
@@ -91,23 +148,9 @@ class Chain:
         """(probability of toxic, forward odds, backward odds) of each item of sequences emission[at[i]:at[i+1]]."""
         a = np.exp(self.transition)
         odds = np.exp(emission)
-        forward, backward = np.empty(len(emission)), np.empty(len(emission))
-        steps = list(in_steps(at))
-        last = None
-        for _, place in steps:
-            if last is None:
-                now = odds[place] * np.exp(self.start)
-            else:
-                before = last[: len(place)]
-                now = odds[place] * (a[0, 1] + a[1, 1] * before) / (a[0, 0] + a[1, 0] * before)
-            forward[place] = last = np.minimum(now, 1e30)
-        after = np.empty(0)
-        for _, place in reversed(steps):
-            now = np.ones(len(place))
-            if len(after):
-                now[: len(after)] = (a[1, 0] + a[1, 1] * after) / (a[0, 0] + a[0, 1] * after)
-            backward[place] = now
-            after = np.minimum(odds[place] * now, 1e30)
+        forward = odds_along(odds, at, a, float(np.exp(self.start)))
+        back = odds_along(odds[::-1], len(odds) - at[::-1], a.T, 1.0)[::-1]
+        backward = back / odds
         joint = np.minimum(forward * backward, 1e30)
         return joint / (1 + joint), forward, backward
 
@@ -155,6 +198,7 @@ def token_labels(features: list[np.ndarray], row: np.ndarray, toxic: np.ndarray,
 @dataclass(frozen=True)
 class Settings:
     rows_per_class: int = 1200
+    most_bytes: int = 32_768
     bits: int = 18
     rounds: int = 40
     rate: float = 0.5
@@ -224,7 +268,11 @@ class Model:
         parts = []
         for first, _, data, at in text_groups(texts):
             start, end, row = tokens_of(data, at)
-            parts.append(((row + first).astype(np.int32), (start - at[row]).astype(np.int32), (end - at[row]).astype(np.int32), self.chain.emissions(features_of(data, start, end))))
+            emission = np.empty(len(start))
+            for k in range(0, len(start), TOKENS):
+                a, b = start[k : k + TOKENS], end[k : k + TOKENS]
+                emission[k : k + TOKENS] = self.chain.emissions(features_of(data[a[0] : b[-1]], a - a[0], b - a[0]))
+            parts.append(((row + first).astype(np.int32), (start - at[row]).astype(np.int32), (end - at[row]).astype(np.int32), emission))
         row, start, end, emission = (np.concatenate([p[k] for p in parts]) for k in range(4)) if parts else (np.empty(0, np.int64),) * 4
         at = np.searchsorted(row, np.arange(len(texts) + 1))
         return row, start, end, self.chain.marginals(emission, at)[0], at
@@ -263,7 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, settings: Setting
         return Model(None, np.zeros(3), totals.get(1, 0) / max(sum(totals.values()), 1))
     parts = [known.where(F.col("y") == 1 if y else F.col("y") != 1).orderBy(F.xxhash64("id"), "id").limit(settings.rows_per_class) for y in (1, 0)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").dropDuplicates(["id"]).select("id", "text", (F.col("y") == 1).alias("y")).toArrow().sort_by("id")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= settings.most_bytes)
+    rows = texts.join(sample, "id").groupBy("id").agg(F.min("text").alias("text"), F.first(F.col("y") == 1).alias("y")).toArrow().sort_by("id")
     toxic = rows.column("y").to_numpy()
     if not toxic.any() or toxic.all():
         return Model(None, np.zeros(3), totals[1] / sum(totals.values()))
