@@ -12,8 +12,9 @@ same small buckets as any other. The text never leaves its scan; the shuffles ca
 and checksum.
 
 Edge cases: a null text has size ``extra`` and the checksum of no bytes; a null source is a
-source of its own. Ties of the hash go by id; rows equal in id and text are alike, and either
-order gives the same rows. Fewer rows than shards leave shards empty; an empty table gives an
+source of its own. The hash covers id, text and source, and for rows equal in all of these the
+number of the copy, so that null or repeated ids are dealt out like others; its ties go by id,
+checksum and size. Fewer rows than shards leave shards empty; an empty table gives an
 empty result. Only the named columns are read. Equal texts are not held together: the law is
 that shards' row counts differ by one at most, whatever the size of a group of copies.
 """
@@ -50,10 +51,10 @@ def interleave(rows: DataFrame, source: Column, order_key: Column, buckets: int)
     return placed.withColumn("place", F.col("before") + F.col("_at") - 1).withColumnRenamed("total", "of").drop("_source", "_key", "_bucket", "_share", "_at", "before")
 
 
-TIES = ("doc_id", "text_crc32", "size")
+TIES = ("doc_id", "text_crc32", "size", "copy")
 
 
-ROWS_SORTED = 50_000
+ROWS_SORTED = 200_000
 
 
 def shard(docs: DataFrame, *, shards: int = 40, seed: int = 20240, extra: int = 16, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -65,7 +66,8 @@ def shard(docs: DataFrame, *, shards: int = 40, seed: int = 20240, extra: int =
     buckets = buckets or max(1024, docs.count() // ROWS_SORTED)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + extra).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col(source_col).alias("source"))
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 2)
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", F.when(F.col("copy") > 1, F.col("copy"))), 2)
     out = interleave(rows, F.col("source"), key, buckets)
     number = F.expr(f"(place * {shards}L) div of")
     begin = F.expr(f"((place * {shards}L) div of * of + {shards - 1}L) div {shards}L")
