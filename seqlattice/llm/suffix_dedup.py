@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, cut_lineage, text_groups
+from .common import ShortSpans, cut_lineage, text_groups
 from .induced_sorting import CAP, sort_suffixes
 from .neardup import meeting, whole_groups
 
@@ -49,7 +49,7 @@ def anchors_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         if len(data) < LENGTH:
             return none
         raise ValueError(f"a text of {len(data)} bytes is longer than {1 << PLACE_BITS}")
-    spans = Spans(data)
+    spans = ShortSpans(data)
     place = np.arange(n)
     gram = spans.hash(place, place + GRAM)
     ranked = (gram >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | place.astype(np.uint64)

@@ -9,6 +9,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from seqlattice.llm import html_extraction, induced_sorting, jaccard_join, neardup, packing, paragraph_dedup, quality_rules, sentence_pieces, sharding, suffix_dedup, top_k, toxicity
 from seqlattice.llm.common import text_groups
-from seqlattice.llm.queries import learnable, op9_paragraph_dedup, tokenizer_paths
+from seqlattice.llm.queries import learnable, tokenizer_paths
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("key", T.IntegerType())])
 
@@ -256,19 +257,24 @@ def test_article_without_its_surroundings(spark):
     assert out == sorted([(0, full), (1, full), (2, "Only 1 here <b>"), (3, "extra\n\nOnly 2 here <b>"), (4, ""), (5, ""), (5, ""), (None, "loose text"), (6, "Shared line\n\nOnly 9 here <b>"), (7, "Shared line\n\nOnly 9 here <b>")], key=str)
 
 
+def text_of(blocks):
+    places, article = html_extraction.candidates(blocks)
+    return "\n\n".join(blocks[k][0] for k in places), article
+
+
 def test_wrappers_of_the_article_are_not_beside_it():
     html = "<body><div class='page header-fixed'><div class='no-sidebar'><main><div class='post-header'><h1>T</h1></div><p>a</p></main></div><div class='sidebar'>b</div></div><div class='comments'><article><p>c</p></article></div>"
-    assert html_extraction.text_of(html_extraction.blocks_of(html), set()) == ("T\n\na", True)
+    assert text_of(html_extraction.blocks_of(html)) == ("T\n\na", True)
 
 
 def test_adverts_within_a_line_go():
     html = "<article><p>Six <span class='ad'><b>buy</b> <span>now</span></span>seven<p>eight <span class='ad'>never closed<p>nine</article>"
-    assert html_extraction.text_of(html_extraction.blocks_of(html), set())[0] == "Six seven\n\neight\n\nnine"
+    assert text_of(html_extraction.blocks_of(html))[0] == "Six seven\n\neight\n\nnine"
 
 
 def test_slugs_of_headings_stay():
     page = PAGE % '<article><h2 id="related-work">Related work</h2><h2 id="search">Search</h2><section id="social-policy"><p class="form-of-verse">Policy</p></section><div class="share-buttons">Tell</div><div id="comments">Said</div><div class="related-posts">More</div><p class="google-ad">Buy</p></article>'
-    assert html_extraction.text_of(html_extraction.blocks_of(page), set())[0].split("\n\n") == ["Related work", "Search", "Policy"]
+    assert text_of(html_extraction.blocks_of(page))[0].split("\n\n") == ["Related work", "Search", "Policy"]
 
 
 def test_common_lines_are_longest():
@@ -282,9 +288,85 @@ def test_common_lines_are_longest():
         assert len(found) == table[-1][-1] and all(a[i] in rest for i in found)
 
 
+def plain_extract(rows, least_pages=4):
+    """The whole operator by plain loops: sorted pages, nearest neighbour, LCS by table, common lines by counting."""
+    pages = []
+    for k, (_, url, html) in enumerate(rows):
+        blocks = html_extraction.blocks_of(html or "")
+        places, article = html_extraction.candidates(blocks)
+        pages.append((*html_extraction.host_and_path(url), k, blocks, places, article))
+    order, out = sorted(range(len(pages)), key=lambda i: pages[i][:2]), [None] * len(rows)
+    for at, i in enumerate(order):
+        host, path, _, blocks, places, article = pages[i]
+        near = [pages[order[j]] if 0 <= j < len(order) and pages[order[j]][0] == host else None for j in (at - 1, at + 1)]
+        side = html_extraction.nearer(path, *(x and x[1] for x in near))
+        lines, gone = [b for b, _, _ in blocks], set()
+        if side and lines:
+            other = [b for b, _, _ in near[side > 0][3]]
+            table = [[0] * (len(other) + 1) for _ in range(len(lines) + 1)]
+            for x, y in itertools.product(range(len(lines)), range(len(other))):
+                table[x + 1][y + 1] = table[x][y] + 1 if lines[x] == other[y] else max(table[x][y + 1], table[x + 1][y])
+            x, y = len(lines), len(other)
+            while x and y:
+                if lines[x - 1] == other[y - 1]:
+                    x, y = x - 1, y - 1
+                    gone.add(x)
+                elif table[x - 1][y] >= table[x][y - 1]:
+                    x -= 1
+                else:
+                    y -= 1
+            size = [0 if aside else len(b) for b, _, aside in blocks]
+            if sum(size[k] for k in gone) > sum(size) / 2:
+                gone = set()
+            if article:
+                of = [p for p in pages if p[0] == host]
+                on = lambda line: sum(p[5] and line in {p[3][k][0] for k in p[4]} for p in of)
+                gone = {k for k in gone if on(lines[k]) >= least_pages and 2 * on(lines[k]) > len(of)}
+        out[i] = "\n\n".join(lines[k] for k in places if k not in gone)
+    return out
+
+
+def test_only_differencing_finds_the_template_in_the_article(spark):
+    """Boilerplate inside the marked article that no name gives away; a quotation that two articles share stays."""
+    body = "<html><body><nav>Menu</nav><article><p>By our staff</p><h1>%s</h1><p>%s</p>%s<p>All rights reserved here</p></article></body></html>"
+    quote = "<p>" + words(555, 12) + "</p>"
+    rows = [(i, f"http://news.org/2024/story-{i:02d}", body % (words(600 + i, 4), words(700 + i, 40), quote if i in (4, 5) else "")) for i in range(9)]
+    rows += [(20 + i, f"http://few.org/{i}", body % (words(800 + i, 4), words(900 + i, 40), "")) for i in range(3)]
+    rows += [(30 + i, f"http://loose.org/a/{i}", f"<body><div>Top line</div><p>{words(950 + i, 20)}</p><div>Bottom line</div></body>") for i in range(5)]
+    rows += [(40 + i, "http://copy.org/same", body % ("One", words(970, 40), "")) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(pages).collect()}
+    assert got == dict(zip([r[0] for r in rows], plain_extract(rows)))
+    assert got[3] == f"{words(603, 4)}\n\n{words(703, 40)}" and words(555, 12) in got[4] and words(555, 12) in got[5]
+    assert "By our staff" in got[20] and got[31] == words(951, 20) and "By our staff" in got[40]
+
+
+def test_extraction_equals_plain_loops(spark):
+    rng, rows = random.Random(8), []
+    for i in range(60):
+        lines = [f"<p>{words(k, 3)}</p>" for k in sorted(rng.sample(range(30), rng.randint(0, 9)))]  # in one order, so that the longest subsequence is one
+        mark = rng.choice(["article", "div"])
+        rows.append((i, f"http://h{i % 3}.org/{rng.randrange(40):02d}/{i}", f"<body><nav>{words(1, 2)}</nav><{mark}>{''.join(lines)}</{mark}><p>Foot</p></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(pages, least_pages=2).collect()}
+    want = plain_extract(rows, 2)
+    assert sum(got[i] == want[i] for i in range(60)) == 60
+    assert any(len(got[i].split("\n\n")) < rows[i][2].count("<p>") - 1 for i in range(60))
+
+
+HOSTILE = ["<b x='" * 160000 + '"', "<div>" * 200000, "<span class=ad>" + "<b>" * 100000 + "</i>" * 100000, "<div>" * 100000 + "<nav><body>" * 50000, "<p " + "a  " * 300000, "<a href='" * 50000 + '<a href="' * 50000, "</p>" * 250000]
+
+
+@pytest.mark.parametrize("html", HOSTILE, ids=range(len(HOSTILE)))
+def test_a_megabyte_of_broken_markup_is_read_in_linear_time(html):
+    began = time.process_time()
+    html_extraction.blocks_of(html)
+    assert time.process_time() - began < 10
+
+
 def test_neighbours_across_partitions(spark):
-    lines = [(i, "h", f"/{i:03d}", [7, i] if i % 2 else [7, i, 9], [3, 8] if i % 2 else [3, 8, 2], True) for i in range(40)]
-    df = spark.createDataFrame(lines, "key long, host string, path string, lines array<long>, sizes array<int>, plain boolean")
+    lines = [(i, "h", f"/{i:03d}", [7, i] if i % 2 else [7, i, 9], [3, 8] if i % 2 else [3, 8, 2], [0, 1] if i % 2 else [0, 1, 2], False) for i in range(40)]
+    df = spark.createDataFrame(lines, "key long, host string, path string, lines array<long>, sizes array<int>, places array<int>, article boolean")
     whole = rows_of(html_extraction.difference(df, 0.5), "key", "shared")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
@@ -481,8 +563,8 @@ def test_trie_holds_its_keys():
 
 
 def plain_paragraphs(rows, least=25, threshold=0.8):
-    items = sorted({(str(r["doc_id"]) if r["doc_id"] is None else r["doc_id"], r["text"] or "", i, line) for r in rows for i, line in enumerate((r["text"] or "").split("\n")) if len(line.split()) >= least}, key=lambda x: (x[0] != "None", str(type(x[0])), x[0]) if x[0] == "None" else (True, "", x[0]))
-    lines = sorted({x[3] for x in items})
+    """The component of each long line, by comparing all pairs."""
+    lines = sorted({line for r in rows for line in (r["text"] or "").split("\n") if len(line.split()) >= least})
     sets, root = [shingle_set(t) for t in lines], list(range(len(lines)))
 
     def find(x):
@@ -494,46 +576,87 @@ def plain_paragraphs(rows, least=25, threshold=0.8):
         both = len(sets[i] & sets[j])
         if both >= threshold * (len(sets[i]) + len(sets[j]) - both):
             root[find(i)] = find(j)
-    return items, {line: find(i) for i, line in enumerate(lines)}
+    return {line: find(i) for i, line in enumerate(lines)}
+
+
+def windows(texts, n):
+    return Counter(w for t in texts for w in {tuple(x[i : i + n]) for x in [re.findall(r"[^\x20\x09-\x0D]+", t or "")] for i in range(len(x) - n + 1)})
 
 
 def test_one_paragraph_of_each_component_stays(spark):
     docs = awkward(spark).where("doc_id is not null")
     rows = docs.collect()
-    _, component = plain_paragraphs(rows)
+    component = plain_paragraphs(rows)
     out = paragraph_dedup.removals(docs)
-    left = Counter()
     text = {r["doc_id"]: r["text"] or "" for r in rows}
-    for r in {(r["doc_id"], tuple(r["removed"])) for r in out.collect()}:
-        for i, line in enumerate(text[r[0]].split("\n")):
-            if len(line.split()) >= 25 and i not in r[1]:
+    gone = {r["doc_id"]: {k for x in r["removed"] for k in range(x["start"], x["end"])} for r in out.collect()}
+    left = Counter()
+    for doc, t in text.items():
+        at = 0
+        for line in t.split("\n"):
+            n = len(line.split())
+            if n >= 25 and not set(range(at, at + n)) & gone[doc]:
                 left[component[line]] += 1
-            if i in r[1]:
-                assert len(line.split()) >= 25
-    assert set(left) == set(component.values()) and set(left.values()) == {1}
+            at += n
+    assert set(left) == set(component.values()) - {component[text[10]]} and set(left.values()) == {1}  # 300 equal words repeat within
     assert {r["doc_id"]: r["kept_in"] for r in out.collect()}[9] == [7]
     cleaned = {r["doc_id"]: r["text"] for r in paragraph_dedup.apply(docs, out).collect()}
-    assert cleaned[9] == words(6, 30) and cleaned[0] is None and cleaned[7] == words(1, 60)
+    assert cleaned[9] == words(6, 30) and cleaned[0] is None and cleaned[7] == words(1, 60) and cleaned[8] == f"{words(4, 30)}\n{words(5, 30)}"
     assert paragraph_dedup.removals(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_short_lines_are_paragraphs_too(spark, tmp_path):
-    wrapped = [words(70 + k, 9) for k in range(7)]
-    near = words(90, 24)
-    texts = ["\n".join([words(80, 30), *wrapped, "By line", near]), "\n".join([words(81, 12), *wrapped, "", "By line", near + " end"]), "\n".join(["By line ", words(82, 4), "", near, "By line"]), words(82, 4) + "\nBy lines"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    out = {r["doc_id"]: (r["removed"], r["kept_in"]) for r in op9_paragraph_dedup(spark, str(tmp_path)).collect()}
-    assert out == {0: ([], []), 1: ([1, 2, 3, 4, 5, 6, 7, 9, 10], [0]), 2: ([3, 4], [0]), 3: ([0], [2])}
+def test_no_two_texts_share_a_long_passage_afterwards(spark):
+    """Passages within lines, across lines and of short lines; those of 51 words at least are all found, and nothing else goes."""
+    rng, rows = random.Random(4), []
+    passages = [words(3000 + k, rng.randint(51, 90)).split() for k in range(12)]
+    for d in range(60):
+        own = words(4000 + d, rng.randint(30, 120)).split()
+        if d % 2:
+            at = rng.randrange(len(own))
+            own[at:at] = passages[rng.randrange(12)]
+        own = [w + (rng.choice(["\n", "\n\n", " \t"]) if rng.random() < 0.12 else " ") for w in own]
+        rows.append((d, "".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = paragraph_dedup.removals(docs)
+    removed = {r["doc_id"]: r["removed"] for r in out.collect()}
+    cleaned = [r["text"] for r in paragraph_dedup.apply(docs, out).collect()]
+    assert max(windows([t for _, t in rows], 51).values()) > 1 and max(windows(cleaned, 51).values()) == 1
+    assert not any(removed[d] for d in range(0, 60, 2))
+    seen = windows([t for _, t in rows], 25)
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        for r in removed[d]:  # every removed word is part of a passage of 25 that stands elsewhere too
+            assert all(any(seen[tuple(w[i : i + 25])] > 1 for i in range(max(0, k - 24), k + 1)) for k in range(r["start"], r["end"]))
+    assert Counter(len(r) > 0 for r in removed.values())[True] == sum(n - 1 for n in Counter(next(k for k, p in enumerate(passages) if " ".join(p) in " ".join(t.split())) for d, t in rows if d % 2).values())
+
+
+def test_removed_lines_take_no_last_copy_of_a_passage(spark):
+    """A passage whose first place goes with a near copy of another line stays at its next place."""
+    line, passage = words(5000, 200).split(), words(5001, 30).split()
+    near = line[:100] + passage[:30] + line[100:]
+    rows = [(0, " ".join(line)), (1, " ".join(near)), (2, words(5002, 40) + " " + " ".join(passage) + " " + words(5003, 40))]
+    out = paragraph_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string"))
+    removed = {r["doc_id"]: r["removed"] for r in out.collect()}
+    assert removed[0] == [] and removed[2] == [] and [(r["start"], r["end"]) for r in removed[1]] == [(0, 230)]
+
+
+def test_near_lines_are_compared_by_their_words(spark):
     rng = random.Random(9)
-    lines = [words(300 + k, rng.randint(5, 24)).split() for k in range(25)]
-    rows = []
+    lines, rows = [words(300 + k, rng.randint(25, 60)).split() for k in range(25)], []
     for d in range(40):
         some = [list(x) for x in rng.sample(lines, 4)]
         some[0][-1] = rng.choice(["changed", some[0][-1]])
         rows.append({"doc_id": d, "text": "\n".join(" ".join(x) for x in some)})
-    _, component = plain_paragraphs(rows, least=5)
-    gone = {r["doc_id"]: r["removed"] for r in paragraph_dedup.removals(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")).collect()}
-    left = Counter(component[line] for r in rows for i, line in enumerate(r["text"].split("\n")) if i not in gone[r["doc_id"]])
+    component = plain_paragraphs(rows)
+    gone = {r["doc_id"]: {k for x in r["removed"] for k in range(x["start"], x["end"])} for r in paragraph_dedup.removals(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")).collect()}
+    left = Counter()
+    for r in rows:
+        at = 0
+        for line in r["text"].split("\n"):
+            n = len(line.split())
+            if not set(range(at, at + n)) & gone[r["doc_id"]]:
+                left[component[line]] += 1
+            at += n
     assert set(left) == set(component.values()) and set(left.values()) == {1}
 
 
