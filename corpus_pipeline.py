@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlattice.llm import jaccard_join, packing, quality_rules, suffix_dedup, toxicity
-from seqlattice.llm.common import cut_lineage, read_table
+from seqlattice.llm.common import read_table, shared_folder
 from seqlattice.llm.queries import learnable, tokenizer_paths
 
 ID, TEXT = "doc_id", "text"
@@ -67,11 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage's result is written as Parquet to the shared folder and read again."""
-    context = spark.sparkContext
     docs = read_table(spark, sf_dir, "documents")
-    if context.getCheckpointDir() is None:
-        cut_lineage(spark.range(1))  # names a folder where the session has none
-    folder = f"{context.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
