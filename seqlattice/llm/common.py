@@ -80,7 +80,7 @@ PRIME = (1 << 31) - 1
 BASES = (0x3C6EF372, 0x1F83D9AB)
 
 _short: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_long: list[np.ndarray] = [np.ones(1, np.uint64)] * 4
+_long: list[np.ndarray] = [np.ones(1, np.uint32)] * 4
 
 
 def _powers_short(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +105,13 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 def _powers_long(n: int) -> list[np.ndarray]:
     """For each of BASES its powers and those of its inverse modulo PRIME, n of each at least."""
     if len(_long[0]) < n:
-        size = 1 << (max(n, GROUP_BYTES + 4096) - 1).bit_length()
+        size = max(n, GROUP_BYTES + 4096)
         for k, base in enumerate(x for b in BASES for x in (b, pow(b, -1, PRIME))):
-            table, have = np.ones(size, np.uint64), 1
-            while have < size:  # the second half is the first one times a power
-                table[have : 2 * have] = _reduced(table[:have] * np.uint64(pow(base, have, PRIME)))
-                have *= 2
+            table, have = np.ones(size, np.uint32), 1
+            while have < size:  # each part is the one before it times a power
+                part = table[: min(have, size - have)]
+                table[have : have + len(part)] = _reduced(part * np.uint64(pow(base, have, PRIME)))
+                have += len(part)
             _long[k] = table
     return _long
 

@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, Spans, cut_lineage, lines_of, mix, shingles, text_groups, words_of
+from .common import GOLDEN, Spans, cut_lineage, lines_of, mix, shingles, stored, text_groups, words_of
 from .neardup import components, meeting, min_hashes, multipliers, needed, verify, with_blocks
 
 PLACE_BITS = 31
+GROUP = 1 << 20  # bytes of text whose words are held at a time
 
 
 def tune(hashes: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -120,7 +121,7 @@ def paragraphs(rows: DataFrame, *, n: int, least: int, stretch: int, hashes: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, after, data, at in text_groups(batch.column(2)):
+            for start, after, data, at in text_groups(batch.column(2), GROUP):
                 w = Words(data, at)
                 row, first, words, ids, gram, owner = _lines(w, n, least)
                 low = min_hashes(gram, owner, len(ids), factors).astype(np.uint64)
@@ -147,7 +148,7 @@ def paragraph_sets(texts: DataFrame, n: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, after, data, at in text_groups(batch.column(0)):
+            for first, after, data, at in text_groups(batch.column(0), GROUP):
                 row, _, _, ids, gram, owner = _lines(Words(data, at), n, least)
                 cut = np.searchsorted(owner, np.arange(len(ids) + 1))
                 asked = {(k, x) for k, some in enumerate(batch.column(1).slice(first, after - first).to_pylist()) for x in some}
@@ -186,7 +187,7 @@ def removals(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, least_words
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(id_col).isNull(), text).alias("key"), text.alias("text"))
-    found = cut_lineage(paragraphs(rows, n=n, least=least_words, stretch=stretch, hashes=hashes, bands=bands, seed=seed))
+    found = stored(paragraphs(rows, n=n, least=least_words, stretch=stretch, hashes=hashes, bands=bands, seed=seed))
     place = F.struct("doc_id", "key", "first").alias("at")
 
     lines = found.where("bands is not null")
