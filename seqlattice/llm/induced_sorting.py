@@ -9,7 +9,7 @@ goes to disk beyond a fixed number of tuples. A tuple's common prefix is one mor
 least of those between its source and the source before it in the same queue.
 
 S* suffixes are sorted by the same induction on unsorted S* positions, which sorts the S*
-substrings; these get names, and the string of names is sorted by recursion. Recursion ends
+substrings; these get names by their characters, and the string of names is sorted by recursion. Recursion ends
 where the names outnumber ``BYTE_LIKE``: from there the names are refined by doubling, as a
 queue a name would cost a Python step each. Common prefixes are counted up to ``CAP``.
 """
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .common import Spans
+from .common import same_spans
 
 CAP = 200
 BYTE_LIKE = 1 << 10
@@ -285,8 +285,10 @@ def sort_suffixes(text: np.ndarray, alphabet: int, folder: str | None = None, ho
     by_substring = np.concatenate(parts)[::-1]
     stop = np.empty(len(text), np.int64)
     stop[stars] = np.r_[stars[1:] + 1, len(text)]
-    content = Spans(text).hash(by_substring, stop[by_substring])
-    name = np.r_[0, content[1:] != content[:-1]].cumsum()
+    size = stop[by_substring] - by_substring
+    same = size[1:] == size[:-1]
+    same[same] = same_spans(text, by_substring[1:][same], by_substring[:-1][same], size[1:][same])
+    name = np.r_[0, ~same].cumsum()
     named = np.empty(len(text), np.int64)
     named[by_substring] = name
     reduced = named[stars]

@@ -12,16 +12,23 @@ a piece that occurs twice or more repeats in full and is sorted only once, if th
 has other pieces; the last case alone needs sorting. So copies by the thousand are one piece,
 and the shards hold the pieces at the edges of repeats.
 
+A shard is the pieces of some anchors, ``shard_bytes`` on average. An anchor whose different
+pieces are more than that by themselves (a phrase in as many surroundings) is in no shard: the
+strings of its pieces, 121 a piece at most, are counted by a 128-bit digest instead, with
+partial sums before the shuffle, so that no task has to hold them together.
+
 Edge cases: a null text is empty; texts under 200 bytes keep all. Repeated rows are repeats of
 each other and lose everything from 200 bytes on. Overlapping repeats within a text count. An
 empty table gives an empty result. Only the named columns are read, so others may have any
-name. What is left may begin or end within a character: it is returned as bytes.
+name. What is left may begin or end within a character: it is returned as bytes. Texts of any
+length are taken whole, ``CHUNK`` strings at a time.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +43,7 @@ LENGTH = CAP  # bytes of a string
 GRAM = 80
 PLACE_BITS = 28
 SHARD_BYTES = 2 << 20
+CHUNK = 16 << 20
 
 
 def anchors_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -45,10 +53,8 @@ def anchors_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """
     none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
     n = len(data) - GRAM + 1
-    if len(data) < LENGTH or len(data) >> PLACE_BITS:
-        if len(data) < LENGTH:
-            return none
-        raise ValueError(f"a text of {len(data)} bytes is longer than {1 << PLACE_BITS}")
+    if len(data) < LENGTH:
+        return none
     spans = ShortSpans(data)
     place = np.arange(n)
     gram = spans.hash(place, place + GRAM)
@@ -74,14 +80,18 @@ def anchors_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], first - at[row[first]], count, anchor[first] - first, gram[anchor[first]], spans.hash(first, first + count + LENGTH - 1)
 
 
-def pieces_of(rows: DataFrame) -> DataFrame:
+def pieces_of(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """anchor, key, first, strings, shift, piece of rows(key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, _, data, at in text_groups(batch.column(1)):
-                row, first, count, shift, anchor, piece = anchors_of(data, at)
-                if len(row):
+                for skipped in range(0, max(len(data) - LENGTH, 0) + 1, chunk) if len(at) == 2 else (0,):
+                    whole = (data, at) if len(at) > 2 else (part := data[skipped : skipped + chunk + LENGTH - 1], np.array([0, len(part)]))
+                    row, first, count, shift, anchor, piece = anchors_of(*whole)
+                    if not len(row):
+                        continue
+                    first += skipped
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).take(pa.array(start + row)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(shift.astype(np.int32)), pa.array(piece.view(np.int64))], ["anchor", "key", "first", "strings", "shift", "piece"])
 
     return rows.select("key", "text").mapInArrow(run, "anchor long, key long, first int, strings int, shift int, piece long")
@@ -127,6 +137,22 @@ def sorted_shards(pieces: DataFrame) -> DataFrame:
     return pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "anchor long, piece long, shift int, strings int, ranges array<struct<start:int,end:int>>")
 
 
+def counted_strings(wanted: DataFrame) -> DataFrame:
+    """anchor, piece, shift, strings, ranges (of strings that repeat) of the pieces that rows(text, wanted) ask for, by counting digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, asked in zip(batch.column(0), batch.column(1)):
+                raw = text.as_py().encode("utf-8")
+                rows = [(w["anchor"], w["piece"], w["shift"], w["strings"], w["times"], k, blake2b(raw[w["first"] + k : w["first"] + k + LENGTH], digest_size=16).digest()) for w in asked.as_py() for k in range(w["strings"])]
+                for k in range(0, len(rows), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + (1 << 16)]), (*TYPES[1:6], pa.int32(), pa.binary()))], [*NAMES[1:6], "at", "digest"])
+
+    strings = cut_lineage(wanted.mapInArrow(run, "anchor long, piece long, shift int, strings int, times long, at int, digest binary"))
+    twice = cut_lineage(strings.groupBy("digest").agg(F.sum("times").alias("n")).where("n > 1").select("digest"))
+    return strings.join(twice, "digest").groupBy(*PIECE).agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))).alias("ranges"))
+
+
 def _cut_pieces(wanted: DataFrame, shards: int) -> DataFrame:
     """The bytes of the pieces that rows(text, wanted) ask for."""
 
@@ -153,17 +179,24 @@ TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(),
 PIECE = ["anchor", "piece", "shift", "strings"]
 
 
-def repeat_ranges(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeat_ranges(rows: DataFrame, shard_bytes: int = SHARD_BYTES, chunk: int = CHUNK) -> DataFrame:
     """key, ranges (start, end in bytes, in any order) of the repeated bytes of rows(key, text)."""
-    found = cut_lineage(meeting(pieces_of(rows), "anchor"))
+    found = cut_lineage(meeting(pieces_of(rows, chunk), "anchor"))
     kinds = found.groupBy(*PIECE).agg(F.count("*").alias("times"), F.min(F.struct("key", "first")).alias("at"))
     kinds = cut_lineage(kinds.join(found.groupBy("anchor").agg((F.min(F.struct("piece", "shift", "strings")) != F.max(F.struct("piece", "shift", "strings"))).alias("several")), "anchor"))
     unsure = kinds.where("several").select(*PIECE, "times", "at.key", "at.first")
     total = unsure.agg(F.sum(F.col("strings") + LENGTH).alias("n")).first()["n"] or 0
-    asked = unsure.groupBy("key").agg(F.collect_list(F.struct("first", *PIECE, "times")).alias("asked"))
+    hot = cut_lineage(unsure.groupBy("anchor").agg(F.sum(F.col("strings") + LENGTH).alias("n")).where(F.col("n") > shard_bytes).select("anchor", F.lit(True).alias("hot")))
+    some_hot = not hot.isEmpty()
+    unsure = cut_lineage(unsure.join(hot, "anchor", "left")) if some_hot else unsure.withColumn("hot", F.lit(None))
+    request = F.collect_list(F.struct("first", *PIECE, "times")).alias("asked")
+    asked = unsure.where("hot is null").groupBy("key").agg(request)
     cut = _cut_pieces(rows.join(asked, "key").select("text", "asked"), max(1, math.ceil(total / shard_bytes)))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("strings").alias("end")))
-    known = sorted_shards(cut).unionByName(kinds.where(~F.col("several")).select(*PIECE, whole.alias("ranges")))
+    known = sorted_shards(cut)
+    if some_hot:
+        known = known.unionByName(counted_strings(rows.join(unsure.where("hot").groupBy("key").agg(request), "key").select("text", "asked")))
+    known = known.unionByName(kinds.where(~F.col("several")).select(*PIECE, whole.alias("ranges")))
     spans = F.transform("ranges", lambda r: F.struct((F.col("first") + r["start"]).alias("start"), (F.col("first") + r["end"] - 1 + LENGTH).alias("end")))
     return found.join(known, PIECE).select("key", F.explode(spans).alias("span")).groupBy("key").agg(F.collect_list("span").alias("ranges"))
 
@@ -179,12 +212,12 @@ def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, chunk: int = CHUNK) -> DataFrame:
     """id, key (of id and text), n_bytes, spans (start, end of removed runs, in bytes) and kept (binary) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(id_col).isNull(), text).alias("key"), text.alias("text"))
-    ranges = cut_lineage(repeat_ranges(rows, shard_bytes))
+    ranges = cut_lineage(repeat_ranges(rows, shard_bytes, chunk))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
