@@ -193,15 +193,16 @@ def removals(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, least_words
     lines = found.where("bands is not null")
     items = cut_lineage(lines.groupBy("id").agg(F.min(place).alias("at"), F.count("*").alias("times"), F.first("bands").alias("bands")))
     similar = _similar_lines(rows, lines, items, threshold, n, least_words, limit)
-    stays = items.select("id", "at", "times").join(similar, "id", "left").where("times > 1 or least is not null").select("id", F.coalesce("least", "at").alias("stays"))
+    # what a hot id is joined with is written first, so that the join stands alone and can split it
+    stays = cut_lineage(items.select("id", "at", "times").join(similar, "id", "left").where("times > 1 or least is not null").select("id", F.coalesce("least", "at").alias("stays")))
     gone = cut_lineage(lines.join(stays, "id").where("key <> stays.key or first <> stays.first").select("key", "first", "words", F.col("stays.doc_id").alias("kept_in")))
 
     passages = found.where("bands is null").select("id", "doc_id", "key", "first", "words")
-    again = passages.join(passages.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id"), "id")
+    again = passages.join(cut_lineage(passages.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id")), "id")
     cut = gone.groupBy("key").agg(F.collect_set(F.struct("first", "words")).alias("cut"))
     apart = F.col("cut").isNull() | ~F.exists("cut", lambda x: (x["first"] < F.col("first") + F.col("words")) & (F.col("first") < x["first"] + x["words"]))
     again = cut_lineage(again.join(cut, "key", "left").where(apart).drop("cut"))
-    more = again.join(again.groupBy("id").agg(F.min(place).alias("stays")), "id").where("key <> stays.key or first <> stays.first")
+    more = again.join(cut_lineage(again.groupBy("id").agg(F.min(place).alias("stays"))), "id").where("key <> stays.key or first <> stays.first")
     gone = gone.unionByName(more.select("key", "first", "words", F.col("stays.doc_id").alias("kept_in")))
 
     before = W.partitionBy("key").orderBy("first", "end")

@@ -698,12 +698,23 @@ def test_suffix_dedup_equals_counting_all_strings(spark, shard_bytes):
         cut = base[a : a + rng.randrange(150, 700)]
         rows.append((500 + k, words(60 + k, 20) + cut + words(80 + k, 20) + (cut[:230] if k % 3 == 0 else ""), None, None, None, None, None))
     docs = spark.createDataFrame(rows, DOCS)
-    assert digest(suffix_dedup.dedup(docs, shard_bytes=shard_bytes)) == plain_suffix(docs.collect())
+    assert digest(suffix_dedup.dedup(docs, shard_bytes=shard_bytes, chunk=10_000)) == plain_suffix(docs.collect())
     cleaned = suffix_dedup.clean(docs)
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
     assert suffix_dedup.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_a_hot_anchor_is_counted_and_long_texts_are_cut(spark):
+    """One phrase of 100 bytes in many surroundings is more than a shard; results are those of counting all strings."""
+    phrase = words(31, 40)[:100]
+    sides = [words(6000 + k, 30)[:110] for k in range(6)]
+    rng = random.Random(3)
+    rows = [(k, words(7000 + k, 4) + sides[rng.randrange(6)][-rng.randint(40, 110) :] + phrase + sides[rng.randrange(6)][: rng.randint(40, 110)]) for k in range(80)]
+    docs = spark.createDataFrame(rows + [(200, rows[0][1]), (201, "z" * 900), (202, words(9000, 30_000)), (203, words(9000, 30_000)[500:])], "doc_id long, text string")
+    for shard_bytes in (1000, 1 << 20):
+        assert digest(suffix_dedup.dedup(docs, shard_bytes=shard_bytes, chunk=10_000)) == plain_suffix(docs.collect())
+
+
 def test_sorted_suffixes_and_common_prefixes(monkeypatch, tmp_path):
     rng = np.random.default_rng(0)
     for round_ in range(300):
