@@ -14,6 +14,16 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def text_order(*parts: Column | str | int) -> Column:
+    """A text that orders rows at random but alike everywhere: the MD5 of the parts joined by '|'."""
+    return F.md5(F.concat_ws("|", *[F.lit(str(x)) if isinstance(x, int) else _col(x).cast("string") for x in parts]))
+
+
+def text_number(*parts: Column | str | int) -> Column:
+    """The first 15 hex digits of text_order() as a long below 2**60."""
+    return F.conv(F.substring(text_order(*parts), 1, 15), 16, 10).cast("long")
+
+
 def reverse_complement(seq: Column | str) -> Column:
     """Reversed complement; case is kept and other characters pass through."""
     return F.reverse(F.translate(_col(seq), "ACGTacgt", "TGCAtgca"))

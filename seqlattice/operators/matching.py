@@ -8,11 +8,12 @@ once for each window and allele, by the strand that the rule names.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 
+MOST_BROADCAST = 100_000  # k-mers, of some bytes each
+
 
 def variant_windows(variants: DataFrame, k: int) -> DataFrame:
     """variants(variant, seq, at, ...) with the windows over the tested base: motif_pos, j, kmer."""
@@ -40,6 +41,13 @@ def probes(windows: DataFrame, k: int, *, palindrome: str = "reverse") -> DataFr
     return rows.withColumn("_p", F.explode(F.when(F.col("_rc") == F.col("filled"), own).otherwise(F.array(forward, reverse)))).select(*windows.columns, "allele", "filled", "_p.probe", "_p.is_reverse")
 
 
+def among(index: DataFrame, kmers: DataFrame) -> DataFrame:
+    """The index behind kmers(kmer): few enough are broadcast, and so sift the tokens before the index's shuffle."""
+    if kmers.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        return index
+    return index.join(F.broadcast(kmers), "kmer", "left_semi")
+
+
 def match(windows: DataFrame, index: DataFrame, k: int, by: list[str], *, last_strand: bool = False, palindrome: str = "reverse") -> DataFrame:
     """by..., allele, region, place (of the tested base in the region).
 
@@ -47,7 +55,7 @@ def match(windows: DataFrame, index: DataFrame, k: int, by: list[str], *, last_s
     forward strand, or by the reverse one with last_strand.
     """
     asked = probes(windows, k, palindrome=palindrome).select(*by, "j", "allele", F.col("probe").alias("kmer"), "is_reverse").distinct()
-    found = asked.join(index, "kmer").withColumn("place", S.wildcard_place(F.col("offset"), F.col("j"), k, F.col("is_reverse")))
+    found = asked.join(index if index.is_cached else among(index, asked.select("kmer").distinct()), "kmer").withColumn("place", S.wildcard_place(F.col("offset"), F.col("j"), k, F.col("is_reverse")))
     pick = F.max_by if last_strand else F.min_by
     return found.groupBy(*by, "allele", "region").agg(pick("place", "is_reverse").alias("place"))
 
@@ -71,8 +79,9 @@ def design(matches: DataFrame, by: list[str], intensity: DataFrame, context: Dat
     if context is None:
         return rows.select(*by, "region", "allele", "y", "lp", "sl")
     rows = rows.join(context.select("region", F.when(~F.isnan("cpg_oe"), F.col("cpg_oe")).alias("cpg_oe")), "region", "left")
-    middle = F.percentile("cpg_oe", F.lit(0.5)).over(W.partitionBy(*by))
-    filled = rows.withColumn("_middle", middle).withColumn("cpg_oe", F.coalesce("cpg_oe", "_middle", F.lit(0.0)))
+    short = rows.where("cpg_oe is null").select(*by).distinct()
+    middle = rows.join(short, by, "left_semi").groupBy(*by).agg(F.percentile("cpg_oe", F.lit(0.5)).alias("_middle"))
+    filled = rows.join(middle, by, "left").withColumn("cpg_oe", F.coalesce("cpg_oe", "_middle", F.lit(0.0)))
     return filled.select(*by, "region", "allele", "y", "lp", "sl", "cpg_oe")
 
 

@@ -13,17 +13,26 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 
 
-def global_rank(rows: DataFrame, value: str, tie: str, buckets: int = 256) -> DataFrame:
-    """rows with rank (0 is the highest value, NaN and null last, ties by ``tie`` up) and n_total.
+def global_rank(rows: DataFrame, value: str, tie: str, buckets: int | None = None, in_bucket: int = 100_000) -> DataFrame:
+    """rows with rank (0 is the highest value, NaN and null last, ties by the number ``tie`` up) and n_total.
 
-    Bucket bounds are approximate quantiles of the value, so buckets are of like size; equal
-    values share a bucket.
+    Bucket bounds are approximate quantiles of the value, so buckets are of like size; their
+    number follows that of the rows (``in_bucket`` each), 4,096 at most. A value that is a
+    bound more than once, and the missing ones, are cut further by quantiles of ``tie``. One
+    pass fetches all bounds.
     """
     clean = F.when(~F.isnan(value), F.col(value))
-    cuts = rows.agg(F.percentile_approx(clean, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10000)).alias("b")).first()["b"] or []
-    bounds = F.array(*[F.lit(float(b)) for b in sorted(set(cuts))]).cast("array<double>")
-    bucket = F.when(clean.isNull(), F.lit(buckets + 1)).otherwise(F.size(F.filter(bounds, lambda x: x > clean)))
-    keyed = rows.withColumn("_bucket", bucket)
+    if buckets is None:
+        buckets = min(4096, max(32, rows.count() // in_bucket))
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    found = rows.agg(F.percentile_approx(clean, shares, F.lit(10000)).alias("b"), F.percentile_approx(F.col(tie).cast("double"), shares, F.lit(10000)).alias("t")).first()
+    cuts = found["b"] or []
+    doubles = lambda v: F.array(*[F.lit(float(x)) for x in v]).cast("array<double>")
+    bounds, heavy, ties = doubles(sorted(set(cuts))), doubles(sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})), doubles(sorted(set(found["t"] or [])))
+    often = clean.isNull() | F.array_contains(heavy, F.coalesce(clean, F.lit(0.0)))
+    above = F.when(clean.isNull(), F.lit(buckets + 1)).otherwise(F.size(F.filter(bounds, lambda x: x > clean)))
+    slot = F.when(often, F.size(F.filter(ties, lambda x: x < F.col(tie).cast("double"))) + 1).otherwise(0)
+    keyed = rows.withColumn("_bucket", above * (buckets + 2) + slot)  # within a bound the values above it come first
     counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     order = W.orderBy("_bucket")
     first = counts.select("_bucket", F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"), F.sum("_n").over(W.partitionBy()).alias("n_total"))

@@ -159,7 +159,7 @@ _FAM_DESIGN = (*_FAMILY_ALL, sql.unambiguous("fam"))
 
 def family_design(spark, sf_dir, asked=None):
     """Design rows of all families, or of those asked for."""
-    idx = _index(spark, sf_dir)
+    idx = _index(spark, sf_dir).persist()
     found = calibrate.family_matches(calibrate.families(idx, K) if asked is None else asked, idx, K)
     value = tables.intensity(spark, sf_dir).select("region", F.log1p("value").alias("value"))
     single = matching.unambiguous(found, ["family"]).join(value, "region")
@@ -179,10 +179,10 @@ def minor_fraction(spark, sf_dir):
 
 @query("AGG-16_cap_curves")
 def cap_curves(spark, sf_dir):
-    """Seeded draws have no SQL twin."""
-    rows = family_design(spark, sf_dir)
-    big = rows.groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("allele").alias("a")).where("n >= 60 and a > 1").orderBy("family").limit(20)
-    return calibrate.curves(rows.join(F.broadcast(big.select("family")), "family"), [20, 40], repeats=10)[0]
+    """Every family of two alleles at least, at each cap that it reaches; seeded draws have no SQL twin."""
+    rows = family_design(spark, sf_dir).persist()
+    able = rows.groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("allele").alias("a")).where("n >= 20 and a > 1")
+    return calibrate.curves(rows.join(able.select("family"), "family"), [20, 40], repeats=10)[0]
 
 
 _CURVE = "select l_orderkey as family, cast(10 * (1 + l_linenumber % 3) as integer) as cap_probes, l_discount as sd, l_tax as bias from lineitem"

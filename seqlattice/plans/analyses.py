@@ -9,7 +9,7 @@ from ..operators import background, calibrate, fits, index, matching, motif, sel
 from ..sources import tables
 from . import sql
 from .aggregates import family_design, ranks, sets
-from .matches import _FAMILY_ALL, WINDOW, _index, _long, _windows
+from .matches import _FAMILY_ALL, WINDOW, _index, _long, _windows, drawn_sql
 from .registry import query
 from .scalars import CPG, K, MASK
 
@@ -19,8 +19,8 @@ def _value(spark, sf_dir):
     return tables.intensity(spark, sf_dir).withColumn("value", F.log1p("value"))
 
 
-def variant_design(spark, sf_dir, context: bool = False):
-    found = matching.match(_windows(spark, sf_dir), _index(spark, sf_dir), K, WINDOW)
+def variant_design(spark, sf_dir, context: bool = False, found=None):
+    found = matching.match(_windows(spark, sf_dir), _index(spark, sf_dir), K, WINDOW) if found is None else found
     cpg = tables.regions(spark, sf_dir).select("region", S.cpg_observed_expected("seq").alias("cpg_oe")) if context else None
     rows = matching.design(found, WINDOW, _value(spark, sf_dir), cpg)
     return rows.join(tables.variants(spark, sf_dir, K).select("variant", "ref", "alt"), "variant"), found
@@ -31,15 +31,53 @@ def variant_windows(spark, sf_dir):
     return _long(_windows(spark, sf_dir).select("variant", "motif_pos", "j", "kmer"), "motif_pos", "j")
 
 
-def affinity_rows(spark, sf_dir, mode: str = "ols"):
-    design, found = variant_design(spark, sf_dir, True)
+def affinity_rows(spark, sf_dir, mode: str = "ols", found=None):
+    design, found = variant_design(spark, sf_dir, True, found)
     return fits.affinity(design, WINDOW, F.col("ref"), covariates=("lp", "sl", "cpg_oe"), mode=mode), found
 
 
-@query("OP-2_affinity")
+_LENGTH = "cast(greatest(1, cast(split_part(region, '-', 2) as bigint)) as double)"
+_LP = f"case when place / {_LENGTH} > 0.5 then 1 - place / {_LENGTH} else place / {_LENGTH} end"
+
+
+def _terms(by: str, columns: list[str], others: str, tag: str = "") -> str:
+    """One row a base of swept: whether its column varies, slope and t."""
+    lines = []
+    for k, base in enumerate(columns[:4], 1):
+        slope, t = sql.term(k, len(columns))
+        lines.append(f"select {by}, {others}, '{base[0].upper()}' as allele, varies[{k}] as v, {slope} as slope, {t} as t, df from {tag}swept")
+    return " union all ".join(lines)
+
+
+def _affinity_sql(by: str, covariates: list[str], single: str = "single", alts: bool = True) -> str:
+    """aff(by, ref, allele, coef, pval, n, model, method) of found matches, as OP-2 and OP-6 fit them."""
+    columns = [f"{b.lower()}_" for b in S.BASES] + covariates
+    hot = ", ".join(f"cast(allele = '{b}' and ref <> '{b}' as double) as {b.lower()}_" for b in S.BASES)
+    have = ", ".join(f"count(*) filter (allele = '{b}') > 0" for b in S.BASES)
+    least = sql.least_squares("design", by + ", ref", columns, "y", "count(*) >= 10 and max(cast(allele <> ref as integer)) = 1", f", [{have}] as have")
+    return f"""design as (
+    select {by}, ref, region, allele, ln(1 + regions.value) as y, {_LP} as lp, {_LENGTH} as sl, {CPG} as cpg_oe, {hot} from {single} join regions using (region)
+),
+{least},
+each as ({_terms(by, columns, "ref, n, have")}),
+aff as (
+    select {by}, ref, allele, cast(n as bigint) as n, case when allele = ref then 'na_ref' when not have[instr('ACGT', allele)] then 'na_missing' else 'ols' end as method,
+        case when method = 'ols' then slope end as coef, case when method = 'ols' then {sql.two_sided_t('t', 'df')} end as pval from each
+)"""
+
+
+_MATCHED = (sql.index(K), sql.variants(K), sql.probes("windows", "variant, motif_pos"), sql.matches("variant, motif_pos", K), sql.unambiguous("variant, motif_pos"), "named as (select single.*, ref from single join variants using (variant))")
+_OP2 = sql.with_(*_MATCHED, _affinity_sql("variant, motif_pos", ["lp", "sl", "cpg_oe"], "named"))
+
+
+def _rounded(rows, *names):
+    return rows.withColumns({c: F.round(c, 6) for c in names})
+
+
+@query("OP-2_affinity", _OP2 + "select variant, motif_pos, allele, round(coef, 6) as coef, round(pval, 6) as pval, n, 'ols' as model, method from aff")
 def affinity(spark, sf_dir):
-    """Least squares on five or more columns; the two-column fit is AGG-22_ols."""
-    return affinity_rows(spark, sf_dir)[0]
+    """Least squares on alleles, folded place, length and CpG ratio in every window."""
+    return _long(_rounded(affinity_rows(spark, sf_dir)[0], "coef", "pval"), "motif_pos")
 
 
 _DESIGN_VALUE = f"""design as (
@@ -71,27 +109,79 @@ def matched_once(spark, sf_dir):
     return matching.match(_windows(spark, sf_dir), idx, K, WINDOW).persist(), idx
 
 
-def random_rows(spark, sf_dir, mode: str = "ols"):
-    found, idx = matched_once(spark, sf_dir)
+def random_rows(spark, sf_dir, mode: str = "ols", once=None):
+    found, idx = once or matched_once(spark, sf_dir)
     return background.against_background(found, background_rows(spark, sf_dir, found, idx).persist(), WINDOW, _value(spark, sf_dir), mode=mode)
 
 
-@query("OP-3_variant_rows")
+_BACK_COLUMNS = [*(f"{b.lower()}_" for b in S.BASES), "lp", "sl"]
+_BACKGROUND = f"""places as (select region, min(off) as off from idx group by region),
+{drawn_sql(100, K)},
+both_ as (select variant, motif_pos, region, place, instr('ACGT', allele) as code from found union all select variant, motif_pos, region, off + motif_pos, 9 from drawn),
+firsts as (select variant, motif_pos, region, min_by(place, code) as place, list(distinct code) as codes from both_ group by 1, 2, 3),
+back as (select variant, motif_pos, round_even(ln(1 + regions.value), 0) as y, {_LP} as lp, {_LENGTH} as sl, {", ".join(f"cast(list_contains(codes, {i}) as double) as {b.lower()}_" for i, b in enumerate(S.BASES, 1))} from firsts join regions using (region)),
+n_drawn as (select variant, motif_pos, count(*) as n_bg from drawn group by 1, 2),
+{sql.least_squares("back", "variant, motif_pos", _BACK_COLUMNS, "y", "count(*) >= 10", ", [" + ", ".join(f"cast(sum({b.lower()}_) as bigint)" for b in S.BASES) + "] as hit", "b_")},
+b_each as ({_terms("variant, motif_pos", _BACK_COLUMNS, "n, hit", "b_")}),
+rand as (select variant, motif_pos, allele, case when v then slope else 0 end as coef, case when v then {sql.two_sided_t("t", "df")} else 'nan'::double end as pval, cast(n as bigint) as n_total, hit[instr('ACGT', allele)] as n_hit, coalesce(n_bg, 0) as n_bg from b_each left join n_drawn using (variant, motif_pos))"""
+_TESTED = _OP2.rstrip() + ",\n" + _BACKGROUND + """,
+tests as (
+    select variant, motif_pos, allele, coef, pval, 'AFF' as label from aff union all select variant, motif_pos, allele, coef, pval, 'RAND' from rand
+)"""
+_VARIANT_ROWS = _TESTED + ", named_tests as (select tests.*, variants.ref, variants.alt from tests join variants using (variant))"
+
+
+def _summary_sql(rows: str) -> str:
+    """The three lines of each variant at its best window, by Holm-adjusted p."""
+    return f""", fam as (select *, case when label = 'AFF' and allele = alt then 'AFF' when label = 'RAND' and allele in (ref, alt) then 'RAND' end as family from {rows}),
+step as (
+    select *, row_number() over w as at_, (count(*) over (partition by variant, family) - row_number() over w + 1) * pval as adjusted
+    from fam where family is not null and pval is not null and not isnan(pval) window w as (partition by variant, family order by pval, motif_pos, allele)
+),
+holm as (select variant, label, motif_pos, allele, least(1.0, max(adjusted) over (partition by variant, family order by at_ rows unbounded preceding)) as pval_holm from step),
+marked as (select fam.*, pval_holm from fam left join holm using (variant, label, motif_pos, allele)),
+sup as (select variant, motif_pos, max(cast(label = 'RAND' and allele in (ref, alt) and coalesce(pval_holm < 0.05, false) and coef > 0 as integer)) as supported from marked group by 1, 2),
+best as (
+    select variant, motif_pos from (
+        select variant, motif_pos, row_number() over (partition by variant order by supported desc, pval, -abs(coef), motif_pos) as nth
+        from marked join sup using (variant, motif_pos) where label = 'AFF' and allele = alt and pval is not null and not isnan(pval)
+    ) where nth = 1
+),
+lines as (select distinct variant, ref, alt, line, t.label as label, case when line = 1 then ref else alt end as allele from marked, (values (0, 'AFF'), (1, 'RAND'), (2, 'RAND')) t(line, label))
+select variant, line, l.label, l.allele, best.motif_pos, round(coef, 6) as effect, case when isnan(m.pval) then null else round(m.pval, 6) end as raw_pval, round(m.pval_holm, 6) as pval
+from lines l left join best using (variant) left join marked m on m.variant = l.variant and m.label = l.label and m.allele = l.allele and m.motif_pos = best.motif_pos"""
+
+
+def _shown_summary(rows):
+    out = rows.withColumns({c: F.round(selection.finite(c), 6) for c in ("effect", "raw_pval", "pval")})
+    return _long(out, "line", "motif_pos")
+
+
+def _shown_tests(rows):
+    return _long(rows.withColumns({"coef": F.round("coef", 6), "pval": F.round(selection.finite("pval"), 6)}), "motif_pos")
+
+
+@query("OP-3_variant_rows", _VARIANT_ROWS + " select variant, motif_pos, allele, round(coef, 6) as coef, case when isnan(pval) then null else round(pval, 6) end as pval, label, ref, alt from named_tests")
+def shown_variant_rows(spark, sf_dir):
+    return _shown_tests(variant_rows(spark, sf_dir))
+
+
 def variant_rows(spark, sf_dir):
     alleles = tables.variants(spark, sf_dir, K).select("variant", "ref", "alt")
-    aff = affinity_rows(spark, sf_dir)[0].select(*WINDOW, "allele", "coef", "pval", F.lit("AFF").alias("label"))
-    rand = random_rows(spark, sf_dir).select(*WINDOW, "allele", "coef", "pval", F.lit("RAND").alias("label"))
+    once = matched_once(spark, sf_dir)
+    aff = affinity_rows(spark, sf_dir, found=once[0])[0].select(*WINDOW, "allele", "coef", "pval", F.lit("AFF").alias("label"))
+    rand = random_rows(spark, sf_dir, once=once).select(*WINDOW, "allele", "coef", "pval", F.lit("RAND").alias("label"))
     return aff.unionByName(rand).join(alleles, "variant")
 
 
-@query("OP-3_best_windows")
+@query("OP-3_best_windows", _VARIANT_ROWS + _summary_sql("named_tests"))
 def best_windows(spark, sf_dir):
-    return selection.summary_rows(selection.holm_within_variant(variant_rows(spark, sf_dir)), use_holm=True)
+    return _shown_summary(selection.summary_rows(selection.holm_within_variant(variant_rows(spark, sf_dir)), use_holm=True))
 
 
-@query("OP-4_against_background")
+@query("OP-4_against_background", sql.with_(*_MATCHED, _BACKGROUND) + "select variant, motif_pos, allele, round(coef, 6) as coef, case when isnan(pval) then null else round(pval, 6) end as pval, n_total, n_hit, n_bg, 'ols' as method from rand")
 def against_background(spark, sf_dir):
-    return random_rows(spark, sf_dir)
+    return _shown_tests(random_rows(spark, sf_dir))
 
 
 @query("OP-5_design_support", _AFF + "select variant, motif_pos, count(*) as n, count(distinct allele) as alleles from design group by 1, 2 having count(*) >= 10 and max(cast(allele <> ref as integer)) = 1")
@@ -109,11 +199,17 @@ def scan_design(spark, sf_dir):
     return design.withColumn("ref", F.substring(F.col("window"), F.col("j") + 1, F.lit(1)))
 
 
-@query("OP-6_scan")
+_SCANNED = f"""intervals as (select 'item' || item_id as "interval", {sql.LETTERS} as s from benchmark),
+scanned as (select "interval", motif_pos, j, substr(s, motif_pos + 1, {K}) as win from (select *, unnest(range(0, greatest(length(s) - {K - 1}, 0))) as motif_pos from intervals), range({K}) t(j)),
+windows as (select distinct win, j, win as kmer from scanned)"""
+_SCAN = sql.with_(sql.index(K), _SCANNED, sql.probes("windows", "win", "both"), sql.matches("win, j", K, last=True), sql.unambiguous("win, j"), "named as (select *, substr(win, j + 1, 1) as ref from single)", _affinity_sql("win, j", ["lp", "sl"], "named"))
+
+
+@query("OP-6_scan", _SCAN + 'select "interval", motif_pos, j, motif_pos + j as absolute_pos, win as "window", allele, round(coef, 6) as coef, round(pval, 6) as pval, method from scanned join aff using (win, j)')
 def scan(spark, sf_dir):
     fitted = fits.affinity(scan_design(spark, sf_dir), ["window", "j"], F.col("ref"))
     places = matching.interval_windows(tables.scan_windows(spark, sf_dir), K).withColumnRenamed("kmer", "window")
-    return places.join(fitted, ["window", "j"]).select("interval", "motif_pos", "j", (F.col("motif_pos") + F.col("j")).alias("absolute_pos"), "window", "allele", "coef", "pval", "method")
+    return places.join(fitted, ["window", "j"]).select("interval", "motif_pos", "j", (F.col("motif_pos") + F.col("j")).alias("absolute_pos"), "window", "allele", F.round("coef", 6).alias("coef"), F.round("pval", 6).alias("pval"), "method").withColumns({c: F.col(c).cast("long") for c in ("motif_pos", "j", "absolute_pos")})
 
 
 @query("OP-7_pooled_scan")
@@ -124,13 +220,13 @@ def pooled_scan(spark, sf_dir):
     return fits.pooled(rows, ["variant"])
 
 
-@query("OP-8_holm_scan")
+@query("OP-8_holm_scan", _VARIANT_ROWS + ", every as (select split_part(t.variant, '>', 1) || '>' || al.allele as variant, motif_pos, t.allele, coef, pval, label, ref, al.allele as alt from named_tests t, " + sql.ALLELES + " where al.allele <> ref)" + _summary_sql("every"))
 def holm_scan(spark, sf_dir):
     """All three alternatives of every variant's base, adjusted within each."""
     rows = variant_rows(spark, sf_dir).drop("alt")
     alts = F.explode(F.filter(F.array(*map(F.lit, S.BASES)), lambda b: b != F.col("ref")))
     every = rows.withColumn("alt", alts).withColumn("variant", F.concat_ws(">", F.substring_index("variant", ">", 1), "alt"))
-    return selection.summary_rows(selection.holm_within_variant(every), use_holm=True)
+    return _shown_summary(selection.summary_rows(selection.holm_within_variant(every), use_holm=True))
 
 
 _GC = "case when length(seq) > 0 then length(regexp_replace(seq, '[AT]', '', 'g')) / length(seq) else 0.0 end"
@@ -212,11 +308,15 @@ def stitched(spark, sf_dir):
 
 @query("OP-16_cap_calibration")
 def cap_calibration(spark, sf_dir):
-    rows = family_design(spark, sf_dir)
-    big = rows.groupBy("family").agg(F.count("*").alias("n_probes_available"), F.count_distinct("allele").alias("a")).where("n_probes_available >= 50 and a > 1").orderBy(F.xxhash64("family"), "family").limit(20)
-    chosen = spark.createDataFrame([tuple(r) for r in big.collect()], big.schema)  # 20 rows at most
-    curves, _ = calibrate.curves(family_design(spark, sf_dir, chosen), [20, 40, 60], repeats=10)
-    return calibrate.recommend_cap(calibrate.cap_summary(curves, chosen, [20, 40, 60]), 0.5, 0.5)
+    """The task's defaults: 100 families, drawn by their text order, 50 repeats, caps up to 2,500."""
+    rows = family_design(spark, sf_dir).persist()
+    big = rows.groupBy("family").agg(F.count("*").alias("n_probes_available"), F.count_distinct("allele").alias("a")).where("n_probes_available >= 50 and a > 1")
+    chosen = big.orderBy(S.text_order(1, "family"), "family").limit(100).drop("a").persist()
+    curves, _ = calibrate.curves(rows.join(F.broadcast(chosen.select("family")), "family"), CAPS)
+    return calibrate.recommend_cap(calibrate.cap_summary(curves, chosen, CAPS))
+
+
+CAPS = [100, 200, 400, 600, 800, 1000, 1250, 1500, 2000, 2500]
 
 
 def mask_table(spark, sf_dir, mask: str, n: int = 60, least: int = 30):

@@ -163,35 +163,50 @@ def control_except(spark, sf_dir):
     return docs.where("lang = 'en'").select("source").distinct().join(docs.where("n_chars > 9000").select("source"), "source", "left_anti")
 
 
-@query("SMP-1_stratified_sample")
+_QUOTAS = _SNV + ", n as (select variant, motif_pos, allele, count(*) as n from found group by 1, 2, 3), t as (select *, sum(n) over (partition by variant, motif_pos) as total from n), q as (select variant, motif_pos, allele, case when total <= 20 then n else cast(least(n, greatest(1, round_even(20 * n / total, 0))) as bigint) end as kept from t)"
+
+
+@query("SMP-1_stratified_sample", _QUOTAS + " select variant, motif_pos, allele, region, place from (select *, row_number() over (partition by variant, motif_pos, allele order by md5('0|' || variant || '|' || motif_pos || '|' || region), region) as at_ from found) join q using (variant, motif_pos, allele) where at_ <= kept")
 def stratified_sample(spark, sf_dir):
-    """Hash order has no SQL twin; the sizes are checked in SMP-1_sample_sizes."""
     found = matching.match(_windows(spark, sf_dir), _index(spark, sf_dir), K, WINDOW)
-    return background.stratified_subsample(found, WINDOW, 20)
+    return _long(background.stratified_subsample(found, WINDOW, 20).select(*WINDOW, "allele", "region", "place"), "motif_pos", "place")
 
 
-@query("SMP-1_sample_sizes", _SNV + ", n as (select variant, motif_pos, allele, count(*) as n from found group by 1, 2, 3), t as (select *, sum(n) over (partition by variant, motif_pos) as total from n) select variant, motif_pos, allele, case when total <= 20 then n else cast(least(n, greatest(1, round_even(20 * n / total, 0))) as bigint) end as kept from t")
+@query("SMP-1_sample_sizes", _QUOTAS + " select * from q")
 def sample_sizes(spark, sf_dir):
     out = stratified_sample(spark, sf_dir).groupBy(*WINDOW, "allele").agg(F.count("*").alias("kept"))
     return _long(out, "motif_pos")
 
 
-@query("SMP-2_background_sample")
+def drawn_sql(n: int, k: int) -> str:
+    """drawn(variant, motif_pos, region, off) from places(region, off), found(variant, region) and variants."""
+    return f"""ring as (select region, off, row_number() over (order by md5('0|' || region), region) - 1 as rank, count(*) over () as size from places),
+hit as (select distinct variant, region from found),
+wanted as (select variant, (select count(*) from places) as size, least((select count(*) from places), coalesce(t, 0) + {n * k}) as most from (select distinct variant from variants) left join (select variant, count(*) as t from hit group by 1) using (variant)),
+steps as (select variant, at_, ({sql.text_number("'1|' || variant")} % size + at_) % size as rank from (select *, unnest(range(most)) as at_ from wanted)),
+free as (select variant, at_, region, off from steps join ring using (rank) anti join hit using (variant, region)),
+drawn as (select variant, no // {n} as motif_pos, region, off from (select *, row_number() over (partition by variant order by at_) - 1 as no from free) where no < {n * k})"""
+
+
+@query("SMP-2_background_sample", _SNV + ", places as (select region, min(off) as off from idx group by region), " + drawn_sql(30, K) + " select variant, motif_pos, region, off as \"offset\" from drawn")
 def background_sample(spark, sf_dir):
-    idx = _index(spark, sf_dir)
+    idx = _index(spark, sf_dir).persist()
     found = matching.match(_windows(spark, sf_dir), idx, K, WINDOW)
     places = idx.groupBy("region").agg(F.min("offset").alias("offset"))
-    return background.sample_background(tables.variants(spark, sf_dir, K), found, places, K, 30)
+    return _long(background.sample_background(tables.variants(spark, sf_dir, K), found, places, K, 30), "motif_pos", "offset")
 
 
-@query("SMP-3_masked_background")
+_MASK_PLACES = "seen as (select region, min(off) as off from (select code, region, count(*) as n, min(off) as off from codes where not is_reverse and code is not null group by 1, 2) where n = 1 group by region), places as (select * from seen), found as (select distinct variant, region from tested join hits using (code))"
+
+
+@query("SMP-3_masked_background", sql.with_(*_MASKED, _MASK_PLACES) + ", " + drawn_sql(20, len(MASK)) + " select variant, motif_pos, region, off as \"offset\" from drawn")
 def masked_background(spark, sf_dir):
     regions = tables.regions(spark, sf_dir)
-    rows = index.masked_tokens(regions, MASK).where("not is_reverse").where(background.signature_selected(F.col("code"), 4))
+    rows = index.masked_tokens(regions, MASK).where("not is_reverse").where(background.signature_selected(F.col("code"), -(-(4 ** MASK.count("1")) // 100_000)))
     once = rows.groupBy("code", "region").agg(F.count("*").alias("n"), F.min("offset").alias("offset")).where("n = 1")
     places = once.groupBy("region").agg(F.min("offset").alias("offset"))
     found = matching.masked_match(_windows(spark, sf_dir, len(MASK)), regions, MASK, WINDOW)
-    return background.sample_background(tables.variants(spark, sf_dir, len(MASK)), found, places, len(MASK), 20)
+    return _long(background.sample_background(tables.variants(spark, sf_dir, len(MASK)), found, places, len(MASK), 20), "motif_pos", "offset")
 
 
 @query("SMP-4_families", sql.with_(sql.index(K), _FAMILY) + "select fam as family from fams")
@@ -199,12 +214,17 @@ def all_families(spark, sf_dir):
     return calibrate.families(_index(spark, sf_dir), K)
 
 
-@query("SMP-5_mask_families")
+_SHOWN = " || ".join("'x'" if c == "0" else f"case when tested = {p} then '.' else substr(w, {p + 1}, 1) end" for p, c in enumerate(MASK))
+_FILLED = "substr(w, 1, tested) || allele || substr(w, tested + 2)"
+_ONES = [p for p, c in enumerate(MASK) if c == "1"]
+
+
+@query("SMP-5_mask_families", sql.with_(sql.REGIONS) + f", picked as (select region, substr(seq, cast({sql.text_number("'1|1|' || region")} % (length(seq) - {len(MASK) - 1}) as integer) + 1, {len(MASK)}) as w, cast({_ONES}[{sql.text_number("'1|2|' || region")} % {len(_ONES)} + 1] as integer) as tested from regions where length(seq) >= {len(MASK)}), coded as (select md5('1|' || region) as ord_, tested, allele, '{MASK}|' || {_SHOWN} as family, {sql.signature(_FILLED, MASK)} as code from picked, {sql.ALLELES}), once as (select family, tested, allele, min(code) as code, min(ord_) as ord_ from coded group by 1, 2, 3), firsts as (select family, tested from once where allele = 'A' order by ord_, family limit 200) select family, tested, allele, code from once semi join firsts using (family, tested)")
 def mask_family_sample(spark, sf_dir):
-    return calibrate.mask_families(tables.regions(spark, sf_dir), MASK, 200, 1)
+    return _long(calibrate.mask_families(tables.regions(spark, sf_dir), MASK, 200, 1), "code")
 
 
-@query("SMP-6_random_masks")
+@query("SMP-6_random_masks", "with m as (select '1' || lpad(bin(i), 5, '0') || '1' as mask from range(32) t(i)) select mask from m where length(replace(mask, '0', '')) = 5 and mask <= reverse(mask) and mask not in ('1101011', reverse('1101011')) order by md5('3|' || mask) limit 5")
 def random_masks(spark, sf_dir):
     return spark.createDataFrame([(m,) for m in calibrate.random_masks("1101011", 5, 3)], "mask string")
 

@@ -43,6 +43,10 @@ variants as (
 windows as (select variant, ref, alt, seq, mp as motif_pos, ctr - mp as j, substr(seq, mp + 1, {k}) as kmer from (select *, unnest(range(0, {k})) as mp from variants))"""
 
 
+def text_number(x: str) -> str:
+    return f"cast('0x' || substr(md5({x}), 1, 15) as bigint)"
+
+
 ALLELES = "(values ('A'), ('C'), ('G'), ('T')) al(allele)"
 
 
@@ -84,3 +88,41 @@ codes as (
     select region, ord, off, false as is_reverse, {signature('kmer', mask)} as code from tok
     union all select region, ord, off, true, {signature(rc('kmer'), mask)} from tok
 )"""
+
+
+def two_sided_t(t: str, df: str, rounds: int = 150) -> str:
+    """P(|T| > |t|) of Student's t: the incomplete beta by its continued fraction, from the last of so many terms inwards."""
+    x, a, b = f"({df} / ({df} + {t} * {t}))", f"({df} / 2.0)", "0.5"
+    rest = f"({t} * {t} / ({df} + {t} * {t}))"
+
+    def beta(p: str, q: str, z: str, one_less_z: str) -> str:
+        odd = f"(1 - ({p} + m) * ({p} + {q} + m) * {z} / (({p} + 2 * m) * ({p} + 2 * m + 1)) / acc)"
+        inward = f"list_reduce(cast(range({rounds}, 0, -1) as double[]), lambda acc, m: 1 + m * ({q} - m) * {z} / (({p} + 2 * m - 1) * ({p} + 2 * m)) / {odd}, cast(1 as double))"
+        front = f"exp({p} * ln({z}) + {q} * ln({one_less_z}) + lgamma({p} + {q}) - lgamma({p}) - lgamma({q})) / {p}"
+        return f"{front} / (1 - ({p} + {q}) * {z} / ({p} + 1) / {inward})"
+
+    return f"case when {t} is null then null when {t} = 0 then 1.0 when {x} > ({a} + 1) / ({a} + {b} + 2) then 1 - {beta(b, a, rest, x)} else {beta(a, b, x, rest)} end"
+
+
+def least_squares(source: str, by: str, columns: list[str], y: str, having: str = "true", extra: str = "", tag: str = "") -> str:
+    """swept(by, n, df, extra..., m): m holds, after a sweep over all columns that vary, the inverse
+    of their centred cross products, the slopes in the last column and the residual sum in the corner.
+
+    For designs of full rank.
+    """
+    names = [*columns, y]
+    p = len(columns)
+    rows = ", ".join("[" + ", ".join(f"count(*) * covar_pop({a}, {b})" for b in names) + "]" for a in names)
+    parts = [f"{tag}sums as (select {by}, cast(count(*) as double) as n{extra}, [{rows}] as m from {source} group by {by} having {having})"]
+    parts.append(f"{tag}s0 as (select * exclude (m), m, list_transform(range(1, {p + 1}), lambda i: m[i][i] / n > 1e-18) as varies from {tag}sums)")
+    for k in range(1, p + 1):
+        cell = f"case when i = {k} and j = {k} then 1 / m[{k}][{k}] when i = {k} then m[i][j] / m[{k}][{k}] when j = {k} then -m[i][j] / m[{k}][{k}] else m[i][j] - m[i][{k}] * m[{k}][j] / m[{k}][{k}] end"
+        parts.append(f"{tag}s{k} as (select * exclude (m), case when varies[{k}] then list_transform(range(1, {p + 2}), lambda i: list_transform(range(1, {p + 2}), lambda j: {cell})) else m end as m from {tag}s{k - 1})")
+    parts.append(f"{tag}swept as (select *, n - 1 - list_sum(list_transform(varies, lambda v: cast(v as integer))) as df from {tag}s{p})")
+    return ",\n".join(parts)
+
+
+def term(k: int, p: int) -> tuple[str, str]:
+    """(slope, t) of column k of swept with p columns."""
+    slope = f"m[{k}][{p + 1}]"
+    return slope, f"{slope} / sqrt(m[{p + 1}][{p + 1}] / df * m[{k}][{k}])"

@@ -545,7 +545,7 @@ def run_caps(spark: SparkSession, o: CapOptions) -> dict[str, pd.DataFrame]:
     chosen = able.join(full.select("family").distinct(), "family").join(order, "family").orderBy("at").limit(o.n_families).persist()
     if chosen.isEmpty():
         raise OptionError("no family has enough regions")
-    curves, contrasts = (c.persist() for c in calibrate.curves(design.join(F.broadcast(chosen.select("family")), "family"), caps, repeats=o.repeats, seed=o.seed, covariates=not o.no_covariates))
+    curves, contrasts = calibrate.curves(design.join(F.broadcast(chosen.select("family")), "family"), caps, repeats=o.repeats, seed=o.seed, covariates=not o.no_covariates, keep=True)
     summary = calibrate.cap_summary(curves, chosen, caps)
     recommended = calibrate.recommend_cap(summary, o.max_effect_sd, o.max_effect_bias, o.min_eligible_fraction, o.borderline_tolerance)
     kept = full.join(chosen.select("family", "at"), "family").orderBy("at", "contrast").drop("at", "y_sd", "residual_sd_ratio")
