@@ -95,11 +95,13 @@ def reduced_e_score(spark, sf_dir):
     return _long(out.withColumn("E_reduced", F.round("E_reduced", 9)).withColumn("z", F.round("z", 9)), "group")
 
 
-@query("AGG-7_mann_whitney_p")
+_MWU = """, z as (select cast(grp as bigint) as "group", base, f as "F", case when b > 0 then b else 0 end as "B", case when b > 0 then (s - f * (f + 1) / 2) / (f * b) - 0.5 end as e, case when b > 0 then (s - f * (f + 1) / 2 - f * b / 2) / sqrt(f * b * (f + b + 1) / 12) end as z from (select grp, base, f, cast(s as bigint) as s, cast(b as bigint) as b from tot))"""
+
+
+@query("AGG-7_mann_whitney_p", sql.with_(*_WOBBLE).rstrip() + _MWU + f' select "group", base, "F", "B", round(e, 9) as "E_reduced", round(z, 9) as z, round({sql.two_sided_normal("z")}, 9) as p from z')
 def mann_whitney_p(spark, sf_dir):
-    """The p column; neither engine has erfc in SQL."""
     rows = ranking.reduced_scores(ranking.disjoint(_wobble_sets(spark, sf_dir), ["group"]), ranks(spark, sf_dir), ["group"])
-    return rows.withColumn("p", normal_p("z"))
+    return _long(rows.withColumn("p", normal_p("z")).withColumns({c: F.round(c, 9) for c in ("E_reduced", "z", "p")}), "group")
 
 
 def _masks(k: int, gaps: int) -> str:
@@ -248,11 +250,25 @@ def pooled(spark, sf_dir):
     return fits.pooled(rows, ["position"])
 
 
-@query("AGG-25_contrasts")
+_HOT = [f"{b.lower()}_" for b in S.BASES]
+_LENGTH = "cast(greatest(1, cast(split_part(region, '-', 2) as bigint)) as double)"
+_PAIRS = " union all ".join(f"select family, '{a}-{b}' as contrast, n, m[{i}][7] - m[{j}][7] as e, m[{i}][{i}] + m[{j}][{j}] - m[{i}][{j}] - m[{j}][{i}] as v, m[7][7] as rss, df, y_sd from swept where have[{i}] and have[{j}]" for i, a in enumerate(S.BASES, 1) for j, b in enumerate(S.BASES, 1) if i < j)
+_CONTRASTS = sql.with_(
+    *_FAM_DESIGN,
+    f"d as (select fam as family, region, allele, ln(1 + regions.value) as y, case when place / {_LENGTH} > 0.5 then 1 - place / {_LENGTH} else place / {_LENGTH} end as lp, {_LENGTH} as sl from single join regions using (region))",
+    "r as (select family, allele as ref from (select family, allele, row_number() over (partition by family order by count(*) desc, allele) as at_ from d group by family, allele) where at_ = 1)",
+    "rows as (select d.*, " + ", ".join(f"cast(allele = '{b}' and ref <> '{b}' as double) as {b.lower()}_" for b in S.BASES) + " from d join r using (family))",
+    sql.least_squares("rows", "family", [*_HOT, "lp", "sl"], "y", "count(*) >= 30 and count(distinct allele) > 1", ", stddev_pop(y) as y_sd, [" + ", ".join(f"count(*) filter (allele = '{b}') > 0" for b in S.BASES) + "] as have"),
+    f"pairs as (select *, e / sqrt(rss / df * v) as t from ({_PAIRS}))",
+)
+
+
+@query("AGG-25_contrasts", _CONTRASTS + f"select family, contrast, cast(n as bigint) as n_probes_available, round(e, 6) as full_effect, round(abs(e) / y_sd, 6) as full_effect_abs_norm, round(-log10({sql.two_sided_t('t', 'df')}), 6) + 0 as full_neglog10p, round(y_sd, 6) as y_sd, round(sqrt(rss / n) / y_sd, 6) as residual_sd_ratio from pairs")
 def contrasts(spark, sf_dir):
     rows = family_design(spark, sf_dir)
     big = rows.groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("allele").alias("a")).where("n >= 30 and a > 1")
-    return calibrate.full_effects(rows.join(big.select("family"), "family"))
+    out = calibrate.full_effects(rows.join(big.select("family"), "family"))
+    return out.withColumns({c: F.round(c, 6) for c in ("full_effect", "full_effect_abs_norm", "full_neglog10p", "y_sd", "residual_sd_ratio")})
 
 
 @query("AGG-26_payload_summary", "select event_type, count(*) as n, min(value) as y_min, max(value) as y_max, round(avg(value), 6) as y_mean, max(cast(value is null or not isfinite(value) as integer)) as has_missing, cast(sum(cast(value = 0 as integer)) = count(*) as boolean) as all_zero from events group by event_type")

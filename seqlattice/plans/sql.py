@@ -104,6 +104,14 @@ def two_sided_t(t: str, df: str, rounds: int = 150) -> str:
     return f"case when {t} is null then null when {t} = 0 then 1.0 when {x} > ({a} + 1) / ({a} + {b} + 2) then 1 - {beta(b, a, rest, x)} else {beta(a, b, x, rest)} end"
 
 
+def two_sided_normal(z: str, rounds: int = 60) -> str:
+    """P(|Z| > |z|): by its power series near 0, by the continued fraction of the tail beyond."""
+    x = f"(abs({z}) / sqrt(cast(2 as double)))"
+    series = f"1 - 2 / sqrt(pi()) * {x} * exp(-{x} * {x}) * list_reduce(cast(range({rounds}, 0, -1) as double[]), lambda acc, m: 1 + 2 * {x} * {x} / (2 * m + 1) * acc, cast(1 as double))"
+    tail = f"exp(-{x} * {x}) / sqrt(pi()) / list_reduce(cast(range({3 * rounds}, 0, -1) as double[]), lambda acc, m: {x} + m / 2 / acc, cast({x} as double))"
+    return f"case when {z} is null then null when {x} < 2 then {series} else {tail} end"
+
+
 def least_squares(source: str, by: str, columns: list[str], y: str, having: str = "true", extra: str = "", tag: str = "") -> str:
     """swept(by, n, df, extra..., m): m holds, after a sweep over all columns that vary, the inverse
     of their centred cross products, the slopes in the last column and the residual sum in the corner.
