@@ -77,7 +77,39 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_jaccard_join, op4_html_extraction, op5_toxicity, op6_sharding, op7_top_k, op8_sentence_pieces, op9_paragraph_dedup, op10_suffix_dedup)}
 
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]'), lambda w: w <> '')"
+
 ORACLE_SQL = {
+    "op3_jaccard_join": f"""
+        with texts as (select coalesce(text, '') as t, min(doc_id) as first, count(*) as n_copies from documents group by 1),
+        numbered as (select *, row_number() over (order by t) as id from texts),
+        w as (select id, {_WORDS.replace("coalesce(text, '')", "t")} as w from numbered),
+        grams as (select distinct id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as g from w where len(w) >= 5),
+        sizes as (select id, count(*) as n from grams group by id),
+        links as (
+            select a.id as u, b.id as v from grams a join grams b on a.g = b.g and a.id <> b.id
+            join sizes x on x.id = a.id join sizes y on y.id = b.id
+            group by a.id, b.id, x.n, y.n having count(*) >= 0.8 * (x.n + y.n - count(*))
+        ),
+        reach as (with recursive r as (select u as id, v as other from links union select r.id, l.v from r join links l on l.u = r.other) select id, other from r),
+        class as (select n.id, least(n.first, min(o.first)) as class_id from numbered n left join reach using (id) left join numbered o on o.id = reach.other group by n.id, n.first),
+        degree as (select u as id, count(*) as n_links from links group by u)
+        select doc_id, class_id, coalesce(n_links, 0) as n_links, n_copies
+        from documents d join numbered n on n.t = coalesce(d.text, '') join class using (id) left join degree using (id)
+    """,
+    "op10_suffix_dedup": """
+        with docs as (select doc_id, row_number() over () as rid, hex(encode(coalesce(text, ''))) as h from documents),
+        starts as (select rid, unnest(range(0, greatest(length(h) // 2 - 199, 0))) as at_, h from docs),
+        strings as (select rid, at_, md5(substr(h, 2 * at_ + 1, 400)) as s from starts),
+        twice as (select s from strings group by s having count(*) > 1),
+        hits as (select rid, at_ from strings semi join twice using (s)),
+        heads as (select *, coalesce(at_ > 200 + lag(at_) over (partition by rid order by at_), true) as new from hits),
+        runs as (select rid, min(at_) as a, max(at_) + 200 as b from (select *, sum(cast(new as integer)) over (partition by rid order by at_) as run from heads) group by rid, run),
+        cuts as (select rid, count(*) as n_spans, cast(sum(b - a) as bigint) as n_removed, list(a order by a) as a, list(b order by a) as b from runs group by rid)
+        select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+            sha256(unhex(case when a is null then h else array_to_string(list_transform(range(0, len(a) + 1), lambda i: substr(h, 2 * case when i = 0 then 0 else b[i] end + 1, 2 * (case when i = len(a) then length(h) // 2 else a[i + 1] end - case when i = 0 then 0 else b[i] end))), '') end)) as kept_sha256
+        from docs left join cuts using (rid)
+    """,
     "op7_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as w
