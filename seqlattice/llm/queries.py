@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extraction, jaccard_join, packing, paragraph_dedup, quality_rules, sentence_pieces, sharding, suffix_dedup, top_k, toxicity
-from .common import read_table
+from .common import MIX_1, MIX_2, read_table
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -24,7 +24,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return quality_rules.result(docs, quality_rules.fit(docs, read_table(spark, sf_dir, "labels")))
+    out = quality_rules.result(docs, quality_rules.fit(docs, read_table(spark, sf_dir, "labels")))
+    return out.withColumn("llr", F.round("llr", 5))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]'), lambda w: w <> '')"
 
+_RULES = quality_rules.Rules()
+
+
+def _mixed(x: str) -> str:
+    """common.mix() of a UBIGINT."""
+    times = lambda a, m: f"cast(cast({a} as uhugeint) * {m}::uhugeint % 18446744073709551616::uhugeint as ubigint)"
+    one = times(f"xor({x}, {x} >> 30)", MIX_1)
+    return f"(select xor(c, c >> 31) from (select {times('xor(b, b >> 27)', MIX_2)} as c from (select {one} as b)))"
+
+
+_CRC_ROW = "i"
+for _ in range(8):
+    _CRC_ROW = f"(select case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end from (select {_CRC_ROW} as v))"
+
 ORACLE_SQL = {
+    "op2_quality_rules": f"""
+        with docs as (select doc_id, row_number() over () as rid, coalesce(text, '') as t, hex(encode(coalesce(text, ''))) as h from documents),
+        w as (select rid, {_WORDS.replace("coalesce(text, '')", "t")} as w from docs),
+        windows as (select rid, i, array_to_string(w[i:i + 4], ' ') as g from (select rid, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+        again as (select rid, g from windows group by rid, g having count(*) > 1),
+        covered as (select rid, count(distinct i + k) as n from windows semi join again using (rid, g), range(5) o(k) group by rid),
+        lines as (select rid, unnest(string_split(t, chr(10))) as line from docs),
+        dup as (select rid, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by rid),
+        grams as (select rid, substr(h, 2 * i + 1, 6) as g, count(*) as n from (select rid, h, unnest(range(0, greatest(length(h) // 2 - 2, 0))) as i from docs) group by 1, 2),
+        codes as (select g, cast(((('0x' || substr(g, 1, 2))::bigint + 1) * 257 + ('0x' || substr(g, 3, 2))::bigint + 1) * 257 + ('0x' || substr(g, 5, 2))::bigint + 1 as ubigint) as x from (select distinct g from grams)),
+        buckets as (select g, {_mixed("x")} >> {64 - _RULES.bits} as bucket from codes),
+        trusted as (select distinct doc_id from labels where quality = 1 and doc_id is not null),
+        counted as (select bucket, sum(n) as raw, coalesce(sum(n) filter (trusted.doc_id is not null), 0) as target from grams join buckets using (g) join docs using (rid) left join trusted using (doc_id) group by bucket),
+        ratio as (select bucket, cast(ln((target + {_RULES.prior}) / (raw * (select sum(target) / greatest(sum(raw), 1) from counted) + {_RULES.prior})) as float) as r from counted),
+        llr as (select rid, sum(n * cast(r as double)) / sum(n) as llr from grams join buckets using (g) join ratio using (bucket) group by rid),
+        base as (
+            select doc_id, rid, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+                length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words, coalesce(llr, 0) as llr
+            from docs join w using (rid) left join dup using (rid) left join covered using (rid) left join llr using (rid)
+        )
+        select * exclude (rid, llr), n_words < {_RULES.least_words} or 100 * n_repeat_words > {_RULES.most_repeat_percent} * n_words as base_failed, not base_failed and llr >= {_RULES.threshold} as kept, round(llr, 5) as llr from base
+    """,
+    "op6_sharding": f"""
+        with crc as (select list({_CRC_ROW} order by i) as rows from range(256) t(i)),
+        docs as (select doc_id, source, octet_length(encode(coalesce(text, ''))) + 16 as size, hex(encode(coalesce(text, ''))) as h from documents),
+        sums as (select doc_id, source, size, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint), lambda c, b: xor(c // 256, rows[xor(c % 256, b) + 1]), 4294967295), 4294967295) as text_crc32 from docs, crc),
+        copies as (select *, row_number() over (partition by doc_id, source, size, text_crc32) as copy from sums),
+        keyed as (select *, md5(concat_ws('|', '20240', doc_id, text_crc32, size, copy)) as k from copies),
+        ranked as (select *, (row_number() over (partition by source order by k, doc_id, text_crc32, size, copy) - 0.5::double) / count(*) over (partition by source) as share from keyed),
+        placed as (select *, row_number() over (order by share, k, source is null, coalesce(source, ''), doc_id, text_crc32, size, copy) - 1 as place, count(*) over () as n from ranked)
+        select doc_id, cast(size as bigint) as size, text_crc32, 'rows' as law, cast(place * 40 // n as integer) as shard, place - (place * 40 // n * n + 39) // 40 as slot, cast(null as integer) as grown_shard from placed
+    """,
     "op3_jaccard_join": f"""
         with texts as (select coalesce(text, '') as t, min(doc_id) as first, count(*) as n_copies from documents group by 1),
         numbered as (select *, row_number() over (order by t) as id from texts),

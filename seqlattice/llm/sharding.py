@@ -1,6 +1,6 @@
 """Sharding: proportional stratified interleaving.
 
-Within each source the rows are ranked in a seeded random order; a row's fractional rank is
+Within each source the rows are ranked in a seeded random order (of an MD5); a row's fractional rank is
 (rank + 1/2) / rows of its source. Sorting all rows by it spreads every source evenly, and
 cutting that order into equal counts gives shards that each hold the corpus's mixture to
 within one row a source and cut.
@@ -36,11 +36,11 @@ def _offsets(counts: DataFrame, bucket: str, *by: str) -> DataFrame:
 def interleave(rows: DataFrame, source: Column, order_key: Column, buckets: int) -> DataFrame:
     """rows with ``place`` (0-based, gapless) in the interleaved order and ``of``, the number of rows.
 
-    order_key: a long, uniformly distributed over non-negative values below 2**62.
+    order_key: a text of 15 hex digits at least, uniformly distributed.
     """
-    step = (1 << 62) // buckets + 1
+    step = (1 << 60) // buckets + 1
     keyed = rows.withColumn("_source", F.struct(source.isNull().alias("none"), F.coalesce(source.cast("string"), F.lit("")).alias("name"))).withColumn("_key", order_key)
-    keyed = keyed.withColumn("_bucket", F.floor(F.col("_key") / F.lit(step)))
+    keyed = keyed.withColumn("_bucket", F.expr(f"cast(conv(substr(_key, 1, 15), 16, 10) as long) div {step}L"))
     first = _offsets(keyed.groupBy("_source", "_bucket").agg(F.count("*").alias("n")), "_bucket", "_source")
     in_bucket = W.partitionBy("_source", "_bucket").orderBy("_key", *TIES)
     ranked = keyed.withColumn("_at", F.row_number().over(in_bucket)).join(first.select("_source", "_bucket", "before", "total"), ["_source", "_bucket"])
@@ -67,7 +67,7 @@ def shard(docs: DataFrame, *, shards: int = 40, seed: int = 20240, extra: int =
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + extra).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col(source_col).alias("source"))
     rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", F.when(F.col("copy") > 1, F.col("copy"))), 2)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), "doc_id", "text_crc32", "size", "copy"))
     out = interleave(rows, F.col("source"), key, buckets)
     number = F.expr(f"(place * {shards}L) div of")
     begin = F.expr(f"((place * {shards}L) div of * of + {shards - 1}L) div {shards}L")
