@@ -244,10 +244,17 @@ def negative_binomial(spark, sf_dir):
     return fits.negative_binomial(rows, ["event_type"], ["lp"], "y")
 
 
-@query("AGG-24_pooled")
+_POOLED = "select \"position\", allele, round(effect, 6) as effect, round(" + sql.two_sided_t("t", "gdf") + ", 6) as pval from pooled"
+
+
+@query("AGG-24_pooled", "with rows as (select l_returnflag as \"position\", ['A', 'C', 'G', 'T'][l_linenumber % 4 + 1] as allele, 'A' as ref, l_linestatus as \"window\", cast(l_suppkey as varchar) as region, l_quantity as y, l_discount as lp, l_tax as sl from lineitem), " + sql.pooled("rows", '"position"') + " " + _POOLED)
 def pooled(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("position"), F.element_at(F.array(*map(F.lit, S.BASES)), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("allele"), F.lit("A").alias("ref"), F.col("l_linestatus").alias("window"), F.col("l_suppkey").cast("string").alias("region"), F.col("l_quantity").alias("y"), F.col("l_discount").alias("lp"), F.col("l_tax").alias("sl"))
-    return fits.pooled(rows, ["position"])
+    return shown_pooled(fits.pooled(rows, ["position"]))
+
+
+def shown_pooled(rows):
+    return rows.withColumns({c: F.round(finite(c), 6) for c in ("effect", "pval")})
 
 
 _HOT = [f"{b.lower()}_" for b in S.BASES]

@@ -8,7 +8,7 @@ from ..functions import sequence as S
 from ..operators import background, calibrate, fits, index, matching, motif, selection
 from ..sources import tables
 from . import sql
-from .aggregates import family_design, ranks, sets
+from .aggregates import family_design, ranks, sets, shown_pooled
 from .matches import _FAMILY_ALL, WINDOW, _index, _long, _windows, drawn_sql
 from .registry import query
 from .scalars import CPG, K, MASK
@@ -212,12 +212,16 @@ def scan(spark, sf_dir):
     return places.join(fitted, ["window", "j"]).select("interval", "motif_pos", "j", (F.col("motif_pos") + F.col("j")).alias("absolute_pos"), "window", "allele", F.round("coef", 6).alias("coef"), F.round("pval", 6).alias("pval"), "method").withColumns({c: F.col(c).cast("long") for c in ("motif_pos", "j", "absolute_pos")})
 
 
-@query("OP-7_pooled_scan")
+_POOLED = " select variant, allele, round(effect, 6) as effect, round(" + sql.two_sided_t("t", "gdf") + ", 6) as pval from pooled"
+_PLACED = f"ln(1 + regions.value) as y, {_LP} as lp, {_LENGTH} as sl"
+
+
+@query("OP-7_pooled_scan", sql.with_(*_MATCHED, f"rows as (select variant, printf('%02d', motif_pos) as \"window\", region, allele, ref, {_PLACED} from named join regions using (region))", sql.pooled("rows", "variant")) + _POOLED)
 def pooled_scan(spark, sf_dir):
     """One pooled fit a position of the first window length of every interval's middle base."""
     design, _ = variant_design(spark, sf_dir)
     rows = design.withColumn("window", F.format_string("%02d", F.col("motif_pos"))).select("variant", "window", "region", "allele", "ref", "y", "lp", "sl")
-    return fits.pooled(rows, ["variant"])
+    return shown_pooled(fits.pooled(rows, ["variant"]))
 
 
 @query("OP-8_holm_scan", _VARIANT_ROWS + ", every as (select split_part(t.variant, '>', 1) || '>' || al.allele as variant, motif_pos, t.allele, coef, pval, label, ref, al.allele as alt from named_tests t, " + sql.ALLELES + " where al.allele <> ref)" + _summary_sql("every"))
@@ -360,7 +364,7 @@ def design_payload(spark, sf_dir):
     return _long(out, "motif_pos")
 
 
-@query("OP-19_pooled_background")
+@query("OP-19_pooled_background", sql.with_(*_MATCHED, "places as (select region, min(off) as off from idx group by region)", drawn_sql(100, K), f"stacked as (select variant, motif_pos, region, allele, place from single union all select variant, motif_pos, region, 'none', off + motif_pos from drawn)", f"rows as (select variant, printf('%02d', motif_pos) as \"window\", region, allele, 'none' as ref, {_PLACED} from stacked join regions using (region))", sql.pooled("rows", "variant")) + _POOLED)
 def pooled_background(spark, sf_dir):
     """Background rows are the baseline of every allele."""
     found, idx = matched_once(spark, sf_dir)
@@ -368,7 +372,7 @@ def pooled_background(spark, sf_dir):
     rows = hits.unionByName(background_rows(spark, sf_dir, found, idx).select(*WINDOW, "region", F.lit("none").alias("allele"), "place"))
     size = S.region_length("region")
     rows = rows.join(_value(spark, sf_dir).select("region", F.col("value").alias("y")), "region").select("variant", F.format_string("%02d", F.col("motif_pos")).alias("window"), "region", "allele", F.lit("none").alias("ref"), "y", S.folded_place(F.col("place"), size).alias("lp"), size.cast("double").alias("sl"))
-    return fits.pooled(rows, ["variant"])
+    return shown_pooled(fits.pooled(rows, ["variant"]))
 
 
 @query("OP-20_family_design", sql.with_(*_FAMILY_ALL, sql.unambiguous("fam")) + ", d as (select fam, allele, ln(1 + value) as y, cast(greatest(1, cast(split_part(region, '-', 2) as bigint)) as double) as sl from single join regions using (region)) select fam as family, count(*) as n, round(sum(y), 5) as y, sum(sl) as sl from d group by fam")

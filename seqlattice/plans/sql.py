@@ -130,6 +130,23 @@ def least_squares(source: str, by: str, columns: list[str], y: str, having: str
     return ",\n".join(parts)
 
 
+def pooled(source: str, by: str) -> str:
+    """pooled(by, allele, effect, pval) of source(by, window, region, allele, ref, y, lp, sl): fixed effects of windows, errors clustered by region."""
+    columns = ["a_", "c_", "g_", "t_", "lp", "sl"]
+    hot = ", ".join(f"cast(allele = '{b}' and ref <> '{b}' as double) as {b.lower()}_" for b in "ACGT")
+    less = ", ".join(f"{c} - avg({c}) over (partition by {by}, win) as {c}" for c in [*columns, "y"])
+    rest = "y" + "".join(f" - m[{i}][7] * {c}" for i, c in enumerate(columns, 1))
+    scores = ", ".join(f"sum(({rest}) * ({' + '.join(f'm[{k}][{i}] * {c}' for i, c in enumerate(columns, 1))})) as s{k}_" for k in range(1, 5))
+    each = " union all ".join(f"select {by}, '{b}' as allele, case when ref <> '{b}' then m[{k}][7] end as effect, case when ref <> '{b}' and varies[{k}] then m[{k}][7] / sqrt(v{k} * g / (g - 1) * (n - 1) / (n - wins - 5)) end as t, g - 1 as gdf from fitted" for k, b in enumerate("ACGT", 1))
+    return f"""hot as (select {by}, "window" as win, region, ref, ln(1 + y) as y, lp, sl, {hot} from {source}),
+within as (select {by}, win, region, ref, {less} from hot),
+{least_squares("within", by, columns, "y", extra=", count(distinct win) as wins, min(ref) as ref")},
+clusters as (select {by}, region, {scores} from within join (select {by}, m from swept) using ({by}) group by {by}, region),
+meat as (select {by}, count(*) as g, {", ".join(f"sum(s{k}_ * s{k}_) as v{k}" for k in range(1, 5))} from clusters group by {by}),
+fitted as (select * from swept join meat using ({by})),
+pooled as (select {by}, allele, effect, t, gdf from ({each}))"""
+
+
 def term(k: int, p: int) -> tuple[str, str]:
     """(slope, t) of column k of swept with p columns."""
     slope = f"m[{k}][{p + 1}]"
