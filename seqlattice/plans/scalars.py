@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions.register import register
 from ..functions.stats import scientific
 from ..operators import index, signal
 from ..operators import selection
@@ -321,3 +322,32 @@ def informative_windows(spark, sf_dir):
 @query("FLT-3_support", sql.with_(sql.index(K)) + "select kmer, count(*) as n from idx group by kmer having count(*) >= 20")
 def support(spark, sf_dir):
     return index.unique_index(tables.regions(spark, sf_dir), K).groupBy("kmer").agg(F.count("*").alias("n")).where("n >= 20")
+
+
+@query("FN_sql_functions", sql.with_(sql.REGIONS) + f"select region, {sql.rc('seq')} as rc, round(case when length(seq) > 0 then length(regexp_replace(seq, '[AT]', '', 'g')) / length(seq) else 0.0 end, 9) as gc, {sql.text_number('region')} as number, round({sql.two_sided_t('(length(seq) % 7 / 2.0 + 0.25)', '(length(seq) % 50 + 3.0)')}, 9) as student, round({sql.two_sided_normal('(length(seq) % 9 / 2.0)')}, 9) as normal from regions")
+def sql_functions(spark, sf_dir):
+    """The functions as spark.sql has them."""
+    register(spark)
+    tables.regions(spark, sf_dir).createOrReplaceTempView("regions_for_functions")
+    return spark.sql("select region, reverse_complement(seq) as rc, round(gc_fraction(seq), 9) as gc, text_number(region) as number, round(student_two_sided(length(seq) % 7 / 2.0 + 0.25, length(seq) % 50 + 3.0), 9) as student, round(normal_two_sided(length(seq) % 9 / 2.0), 9) as normal from regions_for_functions")
+
+
+@query("FN_kmers_of", sql.with_(sql.REGIONS, sql.tokens(K)) + "select kmer, count(*) as n, cast(sum(off) as bigint) as places from tok group by kmer")
+def sql_kmers(spark, sf_dir):
+    """The table function, joined laterally."""
+    register(spark)
+    tables.regions(spark, sf_dir).createOrReplaceTempView("regions_for_functions")
+    return spark.sql(f"select k.kmer, count(*) as n, sum(k.at) as places from regions_for_functions r, lateral kmers_of(r.seq, {K}) k group by k.kmer")
+
+
+@query("SRC-3_fetch_sequence", sql.with_(sql.REGIONS) + ", asked as (select region, seq, unnest([0, 17, 250, 1000]) as first, unnest([5, 300, 262, 1003]) as last from regions) select region, first as start, last as \"end\", upper(substr(seq, cast(first as integer) + 1, cast(last - first as integer))) as seq from asked where length(seq) > 0")
+def fetch_sequence(spark, sf_dir):
+    """Random access to sequences that are cut into chunks: within one, across several, past the end."""
+    chunk = 256
+    contigs = tables.regions(spark, sf_dir).where("length(seq) > 0").select(F.col("region").alias("chrom"), "seq")
+    starts = F.sequence(F.lit(0), F.length("seq") - 1, F.lit(chunk))
+    genome = contigs.withColumn("start", F.explode(starts)).select("chrom", F.col("start").cast("long").alias("start"), F.substring(F.col("seq"), F.col("start") + 1, F.lit(chunk)).alias("seq"))
+    places = F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for a, b in ((0, 5), (17, 300), (250, 262), (1000, 1003))])
+    asked = contigs.select("chrom", F.explode(places).alias("p")).select("chrom", "p.start", "p.end")
+    found = formats.sequences(asked, genome, chunk)
+    return asked.join(found, ["chrom", "start", "end"], "left").select(F.col("chrom").alias("region"), "start", "end", F.coalesce("seq", F.lit("")).alias("seq"))
