@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, Spans, mix, text_groups
+from .common import GOLDEN, ShortSpans, Spans, mix, text_groups
 
 PREFIXES = (3, 4, 5, 6, 7)
 TAG_BYTES = 6 << 20  # of text whose tokens are held at a time
@@ -57,10 +57,10 @@ def tokens_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def features_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     """Hashes of each token's features; a prefix is one of tokens longer than it."""
-    spans, size = Spans(LOWER[data]), end - start
-    out = [spans.hash(start, end)]
+    data, size = LOWER[data], end - start
+    out, short = [Spans(data).hash(start, end)], ShortSpans(data)
     for n in PREFIXES:
-        prefix = mix(spans.hash(start, np.minimum(start + n, end)) + np.uint64(GOLDEN * n & (1 << 64) - 1))
+        prefix = mix(short.hash(start, np.minimum(start + n, end)) + np.uint64(GOLDEN * n & (1 << 64) - 1))
         out.append(np.where(size > n, prefix, out[0]))
     return out
 
