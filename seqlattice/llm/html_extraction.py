@@ -381,7 +381,8 @@ def common_in_host(lines: DataFrame, least_pages: int) -> DataFrame:
 
 def difference(lines: DataFrame, copies: float, least_pages: int = 4) -> DataFrame:
     """key, shared (places of candidate lines to delete, one at least) of rows of LINES."""
-    lines = lines.select(*LINES).join(common_in_host(lines, least_pages), "host", "left").select(*LINES, "common")
+    common = cut_lineage(common_in_host(lines, least_pages))  # written first, so that the join stands alone and a hot host is split
+    lines = lines.select(*LINES).join(common, "host", "left").select(*LINES, "common")
     kinds = "key long, host string, path string, lines array<long>, sizes array<int>, places array<int>, article boolean, common array<long>"
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
