@@ -6,9 +6,12 @@ root that holds all sets. A node chooses 1/similarity of the sketch's coordinate
 the sampled token stay together. A node of at most ``limit`` sets is a bucket, compared by
 brute force. A pair of exactly the threshold's similarity shares a child with probability
 0.84; ``runs_for`` derives the repetitions that reach a recall at a number of levels. The runs
-over all sets are 2 levels deep. The sets of nodes that are larger even then begin anew with
-the runs that ``depth`` levels need, and what is large after those is compared in blocks
-(neardup). Either part may miss half of what the target recall allows.
+over all sets are 2 levels deep. A larger node of at most ``BLOCKS`` times the limit is
+compared in blocks that meet pairwise (neardup), which loses nothing. Only the sets of nodes
+beyond that begin anew, with the runs that ``depth`` levels need, and what is large after those
+is compared in blocks too. Either part may miss half of what the target recall allows. As links
+are counted, a group of n different texts that are all similar costs n * n comparisons of
+sketches, dealt out in tasks of ``limit`` sets.
 
 Edge cases: null and empty texts are equal texts. A text of fewer than n words has no n-gram
 and links to nothing; equal texts are one class whatever their length. Repeated rows are
@@ -30,6 +33,9 @@ from .common import Spans, cut_lineage, mix, mix_int, shingles, text_groups, wor
 from .neardup import components, min_hashes, multipliers, needed, text_id, verify, with_blocks
 
 
+BLOCKS = 32
+
+
 def runs_for(similarity: float, recall: float, levels: int = 2, size: int = 64) -> int:
     """Repetitions after which a pair of this similarity has met in a bucket `levels` deep with probability recall.
 
@@ -136,7 +142,7 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
 
 
 def _buckets(sets: DataFrame, similarity: float, recall: float, size: int, limit: int, depth: int, seed: int, first_run: int = 0, levels: int = 2) -> DataFrame:
-    """key, n, id of the memberships of buckets of two sets at least; nodes that are large after `levels` are split anew, `depth` deep."""
+    """key, n, id of the memberships of buckets of two sets at least; nodes of over BLOCKS times the limit after `levels` are split anew, `depth` deep."""
     levels = min(levels, depth)
     runs = runs_for(similarity, (1 + recall) / 2, levels, size)
 
@@ -157,9 +163,10 @@ def _buckets(sets: DataFrame, similarity: float, recall: float, size: int, limit
         counts = level.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         found = cut_lineage(level.join(counts, "key").select("key", "n", "id"))
         last = d == depth - 1
-        here = found if last else found.where(F.col("n") <= limit)
+        most = limit if d < levels - 1 else BLOCKS * limit
+        here = found if last else found.where(F.col("n") <= most)
         out = here if out is None else out.unionByName(here)
-        large = found.where(F.col("n") > limit)
+        large = found.where(F.col("n") > most)
         if last or large.isEmpty():
             return out
         if d < levels - 1:
