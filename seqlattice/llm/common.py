@@ -183,21 +183,24 @@ class Spans:
         return mix((one << np.uint64(31) | two) + (end - start).astype(np.uint64) * np.uint64(GOLDEN))
 
 
-def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, at_once: int = 1 << 21) -> np.ndarray:
-    """Whether data[a[i]:a[i] + size[i]] equals data[b[i]:b[i] + size[i]], by the bytes."""
-    out, total = np.ones(len(a), bool), np.cumsum(size)
-    first = 0
-    while first < len(a):
-        done = int(total[first - 1]) if first else 0
-        after = max(first + 1, int(np.searchsorted(total, done + at_once, side="right")))
-        n = size[first:after]
-        if after == first + 1:
-            out[first] = np.array_equal(data[a[first] : a[first] + n[0]], data[b[first] : b[first] + n[0]])
-        else:
-            who = np.repeat(np.arange(first, after), n)
-            step = np.arange(len(who)) - np.repeat(total[first:after] - n - done, n)
-            out[who[data[a[who] + step] != data[b[who] + step]]] = False
-        first = after
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, long_: int = 1 << 12) -> np.ndarray:
+    """Whether data[a[i]:a[i] + size[i]] equals data[b[i]:b[i] + size[i]], eight bytes at a time."""
+    out = np.ones(len(a), bool)
+    if not len(a):
+        return out
+    raw = np.zeros(data.nbytes + 8, np.uint8)
+    raw[:-8] = np.ascontiguousarray(data).view(np.uint8)
+    eight = np.ndarray((data.nbytes + 1,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    a, b, size = (x * data.itemsize for x in (a, b, size))
+    for i in np.flatnonzero(size > long_):
+        out[i] = np.array_equal(raw[a[i] : a[i] + size[i]], raw[b[i] : b[i] + size[i]])
+    live, done = np.flatnonzero(size <= long_), 0
+    while len(live := live[size[live] > done]):
+        differ = eight[a[live] + done] ^ eight[b[live] + done]
+        over = np.maximum(8 * (done + 8 - size[live]), 0).astype(np.uint64)
+        same = differ << over == 0
+        out[live[~same]] = False
+        live, done = live[same], done + 8
     return out
 
 

@@ -113,7 +113,26 @@ def test_names_are_those_of_the_bytes(monkeypatch):
         name, first = names_of(data, start, end)
         assert len(set(zip(raw, name.tolist()))) == len(set(raw)) == len(set(name.tolist())) == len(first)
         assert all(raw[first[n]] == r for n, r in zip(name, raw))
-    assert same_spans(data, start, start, end - start, at_once=64).all()
+    assert same_spans(data, start, start, end - start).all()
+    other = start[::-1]
+    size = np.minimum(end - start, 3999 - other)
+    assert same_spans(data, start, other, size, long_=4).tolist() == same_spans(data, start, other, size).tolist() == [data[a : a + n].tobytes() == data[b : b + n].tobytes() for a, b, n in zip(start, other, size)]
+
+
+def test_counts_do_not_rest_on_the_hash(monkeypatch):
+    rng = random.Random(7)
+    lines = [" ".join(rng.choice("abc") * rng.randint(1, 2) for _ in range(rng.randint(1, 9))) for _ in range(12)]
+    texts = ["\n".join(rng.choices(lines, k=30)) for _ in range(4)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *map(len, texts)])
+    want = quality_rules.base_counts(data, at, quality_rules.Rules())
+    for t, dup, repeat in zip(texts, want["n_dup_lines"], want["n_repeat_words"]):
+        w = t.split()
+        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        assert dup == 30 - len(set(t.split("\n"))) and repeat == len({j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)})
+    monkeypatch.setattr(Spans, "hash", lambda self, a, b: ((b - a) % 2).astype(np.uint64))
+    got = quality_rules.base_counts(data, at, quality_rules.Rules())
+    assert all(np.array_equal(want[k], got[k]) for k in want)
 
 
 def test_lines_and_words_that_hash_alike_stay_apart(spark):
