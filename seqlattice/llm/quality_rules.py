@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lines_of, mix, names_of, per_row, shingles, text_groups, words_of
+from .common import Spans, lines_of, mix, names_of, per_row, same_spans, shingles, text_groups, words_of
 
 #: The symbols that the symbol count counts.
 SYMBOLS = np.zeros(256, bool)
@@ -69,13 +69,19 @@ def base_counts(data: np.ndarray, at: np.ndarray, rules: Rules) -> dict[str, np.
     begins = np.cumsum(np.concatenate([[0], (data & 0xC0) != 0x80]))
     chars = per_row(row, n, begins[end] - begins[start]).astype(np.int64)
     symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
-    word, _ = names_of(data, start, end)
-    first, gram = shingles(mix(word.astype(np.uint64) + np.uint64(1)), row, rules.window)
+    spans = Spans(data)
+    first, gram = shingles(spans.hash(start, end), row, rules.window)
     covered = np.zeros(len(row) + 1, np.int64)
     if len(first):
         key = mix(gram + row[first].astype(np.uint64))
         order = np.argsort(key)
         same = key[order[1:]] == key[order[:-1]]
+        if not _same_words(data, start, end, row, first[order[1:][same]], first[order[:-1][same]], rules.window):  # one hash for unequal words
+            word, _ = names_of(data, start, end)
+            _, gram = shingles(mix(word.astype(np.uint64) + np.uint64(1)), row, rules.window)
+            key = mix(gram + row[first].astype(np.uint64))
+            order = np.argsort(key)
+            same = key[order[1:]] == key[order[:-1]]
         twice = np.zeros(len(key), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
@@ -87,8 +93,14 @@ def base_counts(data: np.ndarray, at: np.ndarray, rules: Rules) -> dict[str, np.
     word_before = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=len(data)))]) if len(data) else np.zeros(1, np.int64)
     full = word_before[line_end] > word_before[line_start]
     line_start, line_end, line_row = line_start[full], line_end[full], line_row[full]
-    line, firsts = names_of(data, line_start, line_end)
-    _, back = np.unique(line_row * max(len(firsts), 1) + line, return_index=True)
+    line = mix(spans.hash(line_start, line_end) + line_row.astype(np.uint64))
+    order = np.argsort(line, kind="stable")
+    a, b = order[1:][again := line[order[1:]] == line[order[:-1]]], order[:-1][again]
+    size = line_end - line_start
+    if not ((line_row[a] == line_row[b]) & (size[a] == size[b])).all() or not same_spans(data, line_start[a], line_start[b], size[a]).all():
+        name, firsts = names_of(data, line_start, line_end)
+        line = line_row * max(len(firsts), 1) + name
+    _, back = np.unique(line, return_index=True)
     return {
         "n_words": n_words,
         "word_chars": chars,
@@ -98,6 +110,17 @@ def base_counts(data: np.ndarray, at: np.ndarray, rules: Rules) -> dict[str, np.
     }
 
 
+def _same_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> bool:
+    """Whether all windows of words a[i].. and b[i].. are of one text and equal by their bytes."""
+    good = row[a] == row[b]
+    for k in range(window):
+        size = end[a + k] - start[a + k]
+        good &= size == end[b + k] - start[b + k]
+        if not good.all() or not same_spans(data, start[a + k], start[b + k], size).all():
+            return False
+    return True
+
+
 @dataclass(frozen=True)
 class Ratio:
     """A fitted model: the log ratio of each bucket."""
