@@ -26,12 +26,10 @@ SQL_FUNCTIONS = {
 }
 
 
-@F.pandas_udf("double")
 def _student(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(np.exp(stats.log_t_two_sided(t.to_numpy(float), df.to_numpy(float))))
 
 
-@F.pandas_udf("double")
 def _normal(z: pd.Series) -> pd.Series:
     return pd.Series(stats.normal_two_sided(z.to_numpy(float)))
 
@@ -40,6 +38,6 @@ def register(spark: SparkSession) -> list[str]:
     """Registers all functions and returns their names."""
     for name, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
-    spark.udf.register("student_two_sided", _student)
-    spark.udf.register("normal_two_sided", _normal)
+    spark.udf.register("student_two_sided", F.pandas_udf(_student, "double"))
+    spark.udf.register("normal_two_sided", F.pandas_udf(_normal, "double"))
     return [*SQL_FUNCTIONS, "student_two_sided", "normal_two_sided"]
