@@ -343,6 +343,22 @@ def test_controls_are_never_recommended():
     assert best["random_control_empirical_p"] == 1.0 and marked["stability_rank"].tolist() == [2, 3, 1]
 
 
+def test_global_rank_splits_values_that_many_rows_share(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 9 == 0 else 5.0 if i % 9 < 5 else float(rng.integers(0, 12))) for i in range(900)]
+    found = ranking.global_rank(spark.createDataFrame(rows, "ord long, value double"), "value", "ord", buckets=16)
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
+    assert [r["ord"] for r in found.orderBy("rank").collect()] == [r[0] for r in want]
+    assert found.agg(F.min("rank"), F.max("rank"), F.count_distinct("rank")).first() == (0, 899, 900)
+
+
+def test_seeded_places_are_those_of_the_subsample():
+    lookup = {"A": {f"r{i:02d}": i for i in range(30)}, "C": {f"s{i:02d}": i for i in range(9)}}
+    drawn = background.seeded_places({"A": 30, "C": 9}, 10, 4, ("x", 1))
+    regions = {a: [sorted(lookup[a])[i] for i in x] for a, x in drawn.items()}
+    assert {a: sorted(x) for a, x in background.seeded_subsample(lookup, 10, 4, ("x", 1)).items()} == regions
+
+
 def test_random_masks_match_their_reference():
     found = calibrate.random_masks("1101011", 4, 3, ("1011101",))
     assert len(set(found)) == 4 and all(len(m) == 7 and m.count("1") == 5 and m[0] == m[-1] == "1" for m in found)

@@ -26,19 +26,26 @@ def normal(frame):
     return names, sorted(rows, key=str)
 
 
+#: Their SQL solves designs of full rank, which the smallest tables do not give everywhere.
+FULL_RANK = {"OP-2_affinity", "OP-3_best_windows", "OP-3_variant_rows", "OP-4_against_background", "OP-6_scan", "OP-8_holm_scan"}
+
+
 @pytest.fixture(scope="module")
 def warehouse():
-    con = duckdb.connect()
-    for f in DATA.glob("*.parquet"):
-        con.sql(f"create view {f.stem} as select * from '{f}'")
-    return con
+    found = {}
+    for folder in (DATA, DATA.parent / "sf0.01"):
+        found[folder] = con = duckdb.connect()
+        for f in folder.glob("*.parquet"):
+            con.sql(f"create view {f.stem} as select * from '{f}'")
+    return found
 
 
 @needs_data
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, warehouse, name):
     spark.conf.set("spark.sql.ansi.enabled", "true")
-    assert normal(registry.queries()[name](spark, str(DATA)).toPandas()) == normal(warehouse.sql(SQL[name]).df())
+    data = DATA.parent / "sf0.01" if name in FULL_RANK else DATA
+    assert normal(registry.queries()[name](spark, str(data)).toPandas()) == normal(warehouse[data].sql(SQL[name]).df())
 
 
 @needs_data
