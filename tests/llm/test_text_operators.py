@@ -370,7 +370,7 @@ def test_neighbours_across_partitions(spark):
     whole = rows_of(html_extraction.difference(df, 0.5), "key", "shared")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        assert whole == rows_of(html_extraction.difference(df, 0.5), "key", "shared") and len(whole) == 40
+        assert whole == rows_of(html_extraction.difference(df, 0.5), "key", "shared") and len(whole) == 39  # page 9 is all in its neighbour: copies
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
