@@ -340,7 +340,7 @@ def sql_kmers(spark, sf_dir):
     return spark.sql(f"select k.kmer, count(*) as n, sum(k.at) as places from regions_for_functions r, lateral kmers_of(r.seq, {K}) k group by k.kmer")
 
 
-@query("SRC-3_fetch_sequence", sql.with_(sql.REGIONS) + ", asked as (select region, seq, unnest([0, 17, 250, 1000]) as first, unnest([5, 300, 262, 1003]) as last from regions) select region, first as start, last as \"end\", upper(substr(seq, cast(first as integer) + 1, cast(last - first as integer))) as seq from asked where length(seq) > 0")
+@query("SRC-3_fetch_sequence", sql.with_(sql.REGIONS) + ", asked as (select region, seq, unnest([0, 17, 250, 1000]) as first, unnest([5, 300, 262, 1003]) as last from regions) select region, cast(first as bigint) as start, cast(last as bigint) as \"end\", upper(substr(seq, cast(first as integer) + 1, cast(last - first as integer))) as seq from asked where length(seq) > 0")
 def fetch_sequence(spark, sf_dir):
     """Random access to sequences that are cut into chunks: within one, across several, past the end."""
     chunk = 256
