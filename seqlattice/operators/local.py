@@ -9,6 +9,7 @@ region), and each task returns one row a pattern and allele: counts and sums.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,3 +212,58 @@ def design_moments(windows: DataFrame, regions: DataFrame, patterns: list[str],
 
     keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in (rows.schema[b] for b in by))
     return rows.mapInPandas(run, keys + "n long, s array<double>, c array<double>, counts array<long>, ref string, alt int")
+
+
+def sample_candidates(windows: DataFrame, regions: DataFrame, k: int, by: list[str], cap: int, seed: int = 0) -> DataFrame | None:
+    """by..., allele, region, place: of each window's and allele's matches at least the ``cap`` first in text order of (seed, by, region).
+
+    A task keeps so many of its own; the first 8 bytes of the MD5 decide, and ties of these all
+    stay. None where the windows or their patterns are too many to hold.
+    """
+    patterns = asked_patterns(windows)
+    held = windows.select(*by, pattern_of("kmer", "j").alias("pattern")).distinct().limit(MOST_PATTERNS + 1).collect()
+    if patterns is None or len(held) > MOST_PATTERNS:
+        return None
+    asked = Asked(patterns, k, "reverse", False)
+    number = {p: i for i, p in enumerate(patterns)}
+    held.sort(key=lambda r: number[r["pattern"]])
+    first = np.searchsorted([number[r["pattern"]] for r in held], np.arange(len(patterns) + 1))
+    starts = ["|".join(map(str, [seed, *(r[b] for b in by)])).encode() + b"|" for r in held]
+    whole = regions.select("region", F.coalesce("seq", F.lit("")).alias("seq")).groupBy("region").agg(F.collect_list("seq").alias("seqs"))
+
+    def least(cell: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((key, cell))
+        c, x = cell[order], key[order]
+        begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        size = np.diff(np.append(begin, len(c)))
+        last = np.repeat(x[begin + np.minimum(size, cap) - 1], size)
+        full = np.full(4 * len(held), np.iinfo(np.uint64).max)
+        full[c[begin[size >= cap]]] = x[begin[size >= cap] + cap - 1]
+        return order[x <= last], full
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells_, keys, places, names = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+        most = np.full(4 * len(held), np.iinfo(np.uint64).max)
+        for batch in batches:
+            for a, b in _parts(batch["seqs"]):
+                label = batch["region"].iloc[a:b].to_numpy(object)
+                region, pattern, allele, place, _ = asked.found([list(s) for s in batch["seqs"].iloc[a:b]])
+                many = first[pattern + 1] - first[pattern]
+                if not many.sum():
+                    continue
+                row = np.repeat(np.arange(len(many)), many)
+                window = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[pattern][row]
+                text = [r.encode() for r in label]
+                digests = b"".join([hashlib.md5(starts[w] + text[i]).digest()[:8] for w, i in zip(window.tolist(), region[row].tolist())])
+                key, cell = np.frombuffer(digests, ">u8").astype(np.uint64), window * 4 + allele[row]
+                good = key <= most[cell]
+                cells_, keys = np.concatenate([cells_, cell[good]]), np.concatenate([keys, key[good]])
+                places, names = np.concatenate([places, place[row][good]]), np.concatenate([names, label[region[row][good]]])
+                stay, most = least(cells_, keys)
+                cells_, keys, places, names = cells_[stay], keys[stay], places[stay], names[stay]
+        yield pd.DataFrame({"_w": cells_ // 4, "_a": cells_ % 4 + 1, "region": names, "place": places})
+
+    rows = whole.mapInPandas(run, "_w int, _a int, region string, place long")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in (windows.schema[b] for b in by))
+    table = regions.sparkSession.createDataFrame([(*(r[b] for b in by), i) for i, r in enumerate(held)], kinds + "_w int")
+    return rows.join(F.broadcast(table), "_w").select(*by, S.base_of(F.col("_a")).alias("allele"), "region", "place")
