@@ -34,6 +34,35 @@ def pattern_of(kmer: Column | str, j: Column | str) -> Column:
     return S.replaced(kmer, F.col(j) if isinstance(j, str) else j, ".")
 
 
+def once(seqs: list[list[str]], k: int, kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(region number, number of the k-mer, offset from 1) of the k-mers (sorted numbers) that a region holds once."""
+    pieces = [s for group in seqs for s in group]
+    sizes = np.array([len(s) + 1 for s in pieces], np.int64)
+    d = _CODES[np.frombuffer(("\n".join(pieces) + "\n").encode("ascii", "replace"), np.uint8)]
+    n = len(d) - k + 1
+    none = np.zeros(0, np.int64)
+    if n < 1:
+        return none, none, none
+    code, good = np.zeros(n, np.int64), np.ones(n, bool)
+    for p in range(k):
+        code = code * 4 + d[p : p + n]
+        good &= d[p : p + n] < 4
+    at = np.flatnonzero(good)
+    kmer = np.searchsorted(kmers, code[at])
+    kmer[kmer == len(kmers)] = 0
+    known = kmers[kmer] == code[at]
+    at, kmer = at[known], kmer[known]
+    if not len(at):
+        return none, none, none
+    owner = np.repeat(np.arange(len(seqs)), [len(g) for g in seqs])
+    piece = np.repeat(np.arange(len(pieces)), sizes)[at]
+    key = np.sort((owner[piece] * len(kmers) + kmer) * len(at) + np.arange(len(at)))
+    key, i = np.divmod(key, len(at))
+    new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+    i = i[new[:-1] & new[1:]]
+    return owner[piece[i]], kmer[i], at[i] - (np.cumsum(sizes) - sizes)[piece[i]] + 1
+
+
 class Asked:
     """The probes of sorted patterns by k-mer: for k-mer number ``id`` the entries start[id] to start[id + 1]."""
 
@@ -58,37 +87,9 @@ class Asked:
         self.kmers, first = np.unique(code[order], return_index=True)
         self.start = np.append(first, len(order))
 
-    def once(self, seqs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(region number, number of the k-mer, offset from 1) of the asked k-mers that a region holds once."""
-        pieces = [s for group in seqs for s in group]
-        sizes = np.array([len(s) + 1 for s in pieces], np.int64)
-        d = _CODES[np.frombuffer(("\n".join(pieces) + "\n").encode("ascii", "replace"), np.uint8)]
-        n = len(d) - self.k + 1
-        none = np.zeros(0, np.int64)
-        if n < 1:
-            return none, none, none
-        code, good = np.zeros(n, np.int64), np.ones(n, bool)
-        for p in range(self.k):
-            code = code * 4 + d[p : p + n]
-            good &= d[p : p + n] < 4
-        at = np.flatnonzero(good)
-        kmer = np.searchsorted(self.kmers, code[at])
-        kmer[kmer == len(self.kmers)] = 0
-        known = self.kmers[kmer] == code[at]
-        at, kmer = at[known], kmer[known]
-        if not len(at):
-            return none, none, none
-        owner = np.repeat(np.arange(len(seqs)), [len(g) for g in seqs])
-        piece = np.repeat(np.arange(len(pieces)), sizes)[at]
-        key = np.sort((owner[piece] * len(self.kmers) + kmer) * len(at) + np.arange(len(at)))
-        key, i = np.divmod(key, len(at))
-        new = np.concatenate([[True], key[1:] != key[:-1], [True]])
-        i = i[new[:-1] & new[1:]]
-        return owner[piece[i]], kmer[i], at[i] - (np.cumsum(sizes) - sizes)[piece[i]] + 1
-
     def found(self, seqs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(region number, pattern, allele, place, whether the allele alone hits the region), by region and pattern."""
-        region, kmer, offset = self.once(seqs)
+        region, kmer, offset = once(seqs, self.k, self.kmers)
         many = self.start[kmer + 1] - self.start[kmer]
         total = int(many.sum())
         if not total:
