@@ -345,3 +345,55 @@ def pooled(asked_: Held, regions: DataFrame, k: int, drawn: DataFrame | None = N
         clusters = clusters.unionByName(own)
     meat = clusters.groupBy("variant").agg(F.sum("g").alias("g"), F.array(*[F.sum(F.col("meat")[j]) for j in range(4)]).alias("meat"))
     return fits.pooled_tests(fitted, meat, ["variant"])
+
+
+# -- spaced masks -----------------------------------------------------------------------
+
+
+def masked_places(regions: DataFrame, mask: str, tested: list[tuple[str, int]], variants: list[str]) -> DataFrame:
+    """places() by the signatures of a mask: the first forward signature that a region holds once, and the variants one
+    of whose tested(variant, code) it holds once, the strands of a window being two."""
+    ones, span = S.informative(mask), len(mask)
+    codes, at = 4 ** len(ones), {v: i for i, v in enumerate(variants)}
+    ordered = sorted({(code, at[v]) for v, code in tested})
+    known = np.array([c for c, _ in ordered], np.int64)
+    owner_of = np.array([v for _, v in ordered], np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b, seqs in _pieces(batch):
+                pieces = [s for group in seqs for s in group]
+                sizes = np.array([len(s) for s in pieces], np.int64)
+                d = local._CODES[np.frombuffer("".join(pieces).encode("ascii", "replace"), np.uint8)]
+                starts = np.repeat(np.cumsum(sizes) - sizes, np.maximum(sizes - span + 1, 0))
+                many = np.maximum(sizes - span + 1, 0)
+                off = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                owner = np.repeat(np.repeat(np.arange(len(seqs)), [len(g) for g in seqs]), many)
+                code, good = np.zeros((2, len(off)), np.int64), np.ones((2, len(off)), bool)
+                for p in ones:
+                    for strand, digit in ((0, d[starts + off + p]), (1, d[starts + off + span - 1 - p])):
+                        good[strand] &= digit < 4
+                        code[strand] = code[strand] * 4 + (3 - digit if strand else digit)
+                use = np.flatnonzero(good[0])
+                _, first_at, count = np.unique(owner[use] * codes + code[0, use], return_index=True, return_counts=True)
+                once = use[first_at[count == 1]]
+                first = np.full(b - a, np.iinfo(np.int64).max)
+                np.minimum.at(first, owner[once], off[once] + 1)
+                keys = []
+                for strand in (0, 1):
+                    mine = np.flatnonzero(good[strand])
+                    low = np.searchsorted(known, code[strand, mine])
+                    mine = mine[(low < len(known)) & (known[np.minimum(low, len(known) - 1)] == code[strand, mine])] if len(known) else mine[:0]
+                    keys.append((((owner[mine] * codes) + code[strand, mine]) * (sizes.max(initial=0) + 1) + off[mine]) * 2 + strand)
+                every = np.unique(np.concatenate(keys)) // (2 * (sizes.max(initial=0) + 1))
+                cell, count = np.unique(every, return_counts=True)
+                region, hit_code = np.divmod(cell[count == 1], codes)
+                low, high = np.searchsorted(known, hit_code), np.searchsorted(known, hit_code, "right")
+                row = np.repeat(np.arange(len(region)), high - low)
+                window = np.arange(len(row)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[row]
+                hit = np.zeros((b - a, len(variants)), bool)
+                hit[region[row], owner_of[window]] = True
+                have = first < np.iinfo(np.int64).max
+                yield pd.DataFrame({"region": batch["region"].iloc[a:b].to_numpy(object)[have], "offset": first[have], "matched": [x.tobytes() for x in np.packbits(hit[have], axis=1)]})
+
+    return gathered(regions.select("region", "seq")).mapInPandas(run, "region string, offset long, matched binary")
