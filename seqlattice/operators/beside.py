@@ -397,3 +397,81 @@ def masked_places(regions: DataFrame, mask: str, tested: list[tuple[str, int]],
                 yield pd.DataFrame({"region": batch["region"].iloc[a:b].to_numpy(object)[have], "offset": first[have], "matched": [x.tobytes() for x in np.packbits(hit[have], axis=1)]})
 
     return gathered(regions.select("region", "seq")).mapInPandas(run, "region string, offset long, matched binary")
+
+
+# -- sums of design rows -------------------------------------------------------------------
+
+SLICES = 64  # of the covariate's values, in which a pattern's median is looked for
+
+
+def design_sums(regions: DataFrame, patterns: list[str], k: int) -> DataFrame:
+    """pattern, allele, n, y, lp, sl, cpg_oe: sums of matching.design()'s rows of regions(region, seq, y, c), c or its pattern's median.
+
+    Two readings of the letters: sums and counts by slices of c, then the values of the slice
+    that holds a pattern's middle. Of rows that share a region each meets each, as in the join.
+    """
+    spark = regions.sparkSession
+    asked = local.Asked(patterns, k, "reverse", False)
+    clean = regions.select("region", "seq", "y", F.when(~F.isnan("c"), F.col("c")).alias("c"))
+    cuts = clean.agg(F.percentile_approx("c", [i / SLICES for i in range(1, SLICES)], 10_000).alias("q")).first()["q"]
+    bounds = np.array(sorted(set(cuts or [])), float)
+    slices = len(bounds) + 1
+    whole = gathered(clean, F.count("*").cast("double").alias("_m"), F.sum("y").alias("_y"), F.collect_list("c").alias("cs")).withColumn("_sl", S.region_length("region").cast("double"))
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            given = {c: batch[c].to_numpy(float) for c in ("_m", "_y", "_sl")}
+            for a, b, seqs in _pieces(batch):
+                region, pattern, allele, place, single = asked.found(seqs)
+                region, pattern, allele, place = (x[single] for x in (region, pattern, allele, place))
+                cs = [list(x) for x in batch["cs"].iloc[a:b]]
+                sizes = np.array([len(x) for x in cs], np.int64)
+                flat = np.array([v for x in cs for v in x], float)
+                many = sizes[region]
+                row = np.repeat(np.arange(len(region)), many)
+                value = flat[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + (np.cumsum(sizes) - sizes)[region][row]]
+                m, y, sl = (given[c][a:b][region] for c in ("_m", "_y", "_sl"))
+                yield pattern, allele, place, m, y, sl, many, pattern[row], value, m[row], allele[row]
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = 4 * asked.n
+        total, held_ = np.zeros((6, size)), np.zeros(asked.n * slices)
+        for pattern, allele, place, m, y, sl, many, of, value, weight, own in alone(batches):
+            cell = pattern * 4 + allele
+            for i, w in enumerate((m * m, m * y, m * m * _folded(place, sl), m * m * sl, m * (m - many))):
+                total[i] += np.bincount(cell, w, size)
+            total[5] += np.bincount(of * 4 + own, weight * value, size)
+            held_ += np.bincount(of * slices + np.searchsorted(bounds, value, "right"), weight, asked.n * slices)
+        at = np.flatnonzero(total[0])
+        if len(at):
+            yield pd.DataFrame({"pattern": at // 4, "allele": at % 4, "sums": list(total[:, at].T)})
+            some = np.unique(at // 4)
+            yield pd.DataFrame({"pattern": some, "allele": np.full(len(some), -1), "sums": list(held_.reshape(asked.n, slices)[some])})
+
+    rows = whole.mapInPandas(add, "pattern int, allele int, sums array<double>").groupBy("pattern", "allele").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(max(6, slices))]).alias("sums")).collect()
+    cells = {(r["pattern"], r["allele"]): r["sums"][:6] for r in rows if r["allele"] >= 0}
+    wanted, before = np.zeros((asked.n, slices), bool), {}
+    for r in rows:
+        if r["allele"] < 0 and any(cells.get((r["pattern"], a), [0] * 6)[4] for a in range(4)):
+            run = np.cumsum(np.array(r["sums"][:slices], float))
+            if run[-1]:
+                low, high = (int(np.searchsorted(run, p, "right")) for p in ((run[-1] - 1) // 2, run[-1] // 2))
+                wanted[r["pattern"], low : high + 1] = True
+                before[r["pattern"]] = (run[low - 1] if low else 0.0, run[-1])
+
+    def middle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for *_, of, value, weight, _ in alone(batches):
+            use = wanted[of, np.searchsorted(bounds, value, "right")]
+            yield pd.DataFrame({"pattern": of[use], "value": value[use], "w": weight[use]}).groupby(["pattern", "value"], as_index=False).sum()
+
+    medians: dict[int, float] = {}
+    if before:
+        near = whole.mapInPandas(middle, "pattern int, value double, w double").groupBy("pattern", "value").agg(F.sum("w").alias("w"))
+        run_ = near.withColumn("_run", F.sum("w").over(W.partitionBy("pattern").orderBy("value").rowsBetween(W.unboundedPreceding, 0)))
+        ends = spark.createDataFrame([(p, float(b), float(n)) for p, (b, n) in before.items()], "pattern int, _b double, _n double")
+        at = run_.join(F.broadcast(ends), "pattern").groupBy("pattern")
+        here = F.col("_run") + F.col("_b")
+        ends_ = at.agg(F.min(F.when(here > F.floor((F.col("_n") - 1) / 2), F.col("value"))).alias("a"), F.min(F.when(here > F.floor(F.col("_n") / 2), F.col("value"))).alias("b"))
+        medians = {r["pattern"]: r["a"] + (r["b"] - r["a"]) / 2 for r in ends_.collect()}
+    out = [(patterns[p], S.BASES[a], int(s[0]), s[1], s[2], s[3], s[5] + s[4] * medians.get(p, 0.0)) for (p, a), s in cells.items()]
+    return spark.createDataFrame(out, "pattern string, allele string, n long, y double, lp double, sl double, cpg_oe double")
