@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from . import matching
+from . import index as index_, matching
 
 MOST_PATTERNS = 60_000  # numbers of some hundred bytes each, held by every task
 LETTERS_AT_ONCE = 200_000
@@ -268,3 +268,55 @@ def sample_candidates(windows: DataFrame, regions: DataFrame, k: int, by: list[s
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in (windows.schema[b] for b in by))
     table = regions.sparkSession.createDataFrame([(*(r[b] for b in by), i) for i, r in enumerate(held)], kinds + "_w int")
     return rows.join(F.broadcast(table), "_w").select(*by, S.base_of(F.col("_a")).alias("allele"), "region", "place")
+
+
+def masked_hits(regions: DataFrame, mask: str, targets: DataFrame, *, by_strand: bool) -> DataFrame:
+    """index.masked_hits() where a region is: its letters are shuffled, none of its signatures."""
+    wanted = targets.select("code").distinct().limit(MOST_PATTERNS + 1).collect()
+    if len(wanted) > MOST_PATTERNS:
+        return index_.masked_hits(regions, mask, targets, by_strand=by_strand)
+    known = np.array(sorted(r["code"] for r in wanted if r["code"] is not None), np.int64)
+    ones, span = S.informative(mask), len(mask)
+    whole = regions.select("region", F.coalesce("seq", F.lit("")).alias("seq")).groupBy("region").agg(F.collect_list("seq").alias("seqs"))
+
+    def single(seqs: list[list[str]]) -> tuple[np.ndarray, ...]:
+        """(region number, number of the code, offset from 1, strand) of the known codes that a region holds once."""
+        pieces = [s for group in seqs for s in group]
+        sizes = np.array([len(s) + 1 for s in pieces], np.int64)
+        d = _CODES[np.frombuffer(("\n".join(pieces) + "\n").encode("ascii", "replace"), np.uint8)]
+        n = max(len(d) - span + 1, 0)
+        first = np.cumsum(sizes) - sizes
+        piece = np.repeat(np.arange(len(pieces)), sizes)[:n]
+        whole_ = np.arange(n) + span <= (first + sizes - 1)[piece]  # spacers may be any letter, but of the same piece
+        owner = np.repeat(np.arange(len(seqs)), [len(g) for g in seqs])[piece]
+        keys = []
+        for strand in (0, 1):
+            code, good = np.zeros(n, np.int64), whole_.copy()
+            for p in ones:
+                digit = d[span - 1 - p :][:n] if strand else d[p:][:n]
+                good &= digit < 4
+                code = code * 4 + (3 - digit if strand else digit)
+            low = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            at = np.flatnonzero(good & (known[low] == code))
+            offset = at - first[piece[at]] + 1
+            keys.append(np.stack([owner[at] * len(known) + low[at], offset, np.full(len(at), strand)]))
+        cell, offset, strand = np.concatenate(keys, axis=1)
+        order = np.lexsort((strand, offset, cell))
+        cell, offset, strand = cell[order], offset[order], strand[order]
+        if not len(cell):
+            return (cell,) * 4
+        begin = np.concatenate([[True], cell[1:] != cell[:-1]])
+        other = (offset[1:] != offset[:-1]) | (strand[1:] != strand[:-1]) if by_strand else offset[1:] != offset[:-1]
+        new = begin | np.concatenate([[True], other])  # an occurrence that rows of one region share counts once
+        at = np.flatnonzero(begin)
+        once_ = at[np.add.reduceat(new.astype(np.int64), at) == 1]
+        return cell[once_] // len(known), cell[once_] % len(known), offset[once_], strand[once_]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches if len(known) else ():
+            for a, b in _parts(batch["seqs"]):
+                region, code, offset, strand = single([list(s) for s in batch["seqs"].iloc[a:b]])
+                if len(region):
+                    yield pd.DataFrame({"code": known[code], "region": batch["region"].iloc[a:b].to_numpy(object)[region], "offset": offset, "is_reverse": strand == 1})
+
+    return whole.mapInPandas(run, "code long, region string, offset long, is_reverse boolean")
