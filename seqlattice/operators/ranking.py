@@ -40,6 +40,34 @@ def global_rank(rows: DataFrame, value: str, tie: str, buckets: int | None = Non
     return keyed.withColumn("_at", at).join(F.broadcast(first), "_bucket").withColumn("rank", F.col("_first") + F.col("_at")).drop("_bucket", "_at", "_first")
 
 
+def rounded_means(rows: DataFrame, key: str, values: list[str], order: list[Column], places: int = 6, broadcast: int = 100_000) -> DataFrame:
+    """key, n and the mean of each value, rounded half up, as its doubles added in that order of the rows give it.
+
+    The order of a sum decides a rounded mean only where the mean is within the error of its sum
+    of a tie. The rows of such keys alone are read again and added in order, as running sums, so
+    that no task holds the rows of a key; up to ``broadcast`` of these keys are sent to the tasks.
+    """
+    scale = float(10**places)
+    mean, size, many = (lambda v, t=t: f"_{t}_{v}" for t in ("mean", "size", "many"))
+    sums = [F.avg(v).alias(mean(v)) for v in values] + [F.sum(F.abs(v)).alias(size(v)) for v in values] + [F.count(v).alias(many(v)) for v in values]
+    found = rows.groupBy(key).agg(F.count("*").alias("n"), *sums).persist()
+    shown = lambda v: F.abs(F.col(mean(v)) * scale)
+    error = lambda v: F.col(size(v)) / F.col(many(v)) * (F.col(many(v)) + 4) * (scale * 2.0**-52)
+    unsure = F.lit(False)
+    for v in values:
+        unsure |= (F.col(many(v)) > 0) & (F.abs(shown(v) - F.floor(shown(v)) - 0.5) <= error(v))
+    keys = found.where(unsure).select(F.col(key).alias("_key"))
+    again = rows.select(key, *values, F.struct(*order).alias("_order"))
+    again = again.join(F.broadcast(keys) if keys.count() <= broadcast else keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    by = W.partitionBy(key).orderBy("_order")
+    upto = by.rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = again.select(F.col(key).alias("_key"), F.row_number().over(by).alias("_at"), F.struct(*[F.sum(v).over(upto).alias(v) for v in values]).alias("_sums"))
+    last = summed.groupBy("_key").agg(F.max_by("_sums", "_at").alias("_sums"))
+    out = found.join(last, F.col(key).eqNullSafe(F.col("_key")), "left")
+    exact = lambda v: F.when(F.col("_sums").isNull(), F.col(mean(v))).otherwise(F.col("_sums")[v] / F.nullif(many(v), F.lit(0)))
+    return out.select(key, "n", *[(F.round(exact(v) * scale) / scale).alias(v) for v in values])
+
+
 def e_score(f: Column, rank_sum: Column, n_total: Column) -> Column:
     """AUC less one half of f ranks with that sum among n_total; null if f is none or all."""
     b = n_total - f
