@@ -8,6 +8,7 @@ the rows at drawn places only. The fits on all rows are made from sums (local.ce
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,9 @@ class SummedDesign(calibrate.FamilyDesign):
         beta[0] += self.y_mean
         return beta, rest / df * np.linalg.pinv(self.xx), df
 
+    def residual_ratio(self, fit) -> float:
+        return math.sqrt(max(self.yy - float(fit[0] @ self.xy), 0.0) / self.n) / self.y_sd  # the intercept's part of xy is 0
+
     def hold(self, rows: pd.DataFrame) -> None:
         """The drawn rows(allele 0 to 3, at, lp, sl, y), at: the place among the allele's rows."""
         rows = rows.sort_values(["allele", "at"])
@@ -84,6 +88,32 @@ class SummedDesign(calibrate.FamilyDesign):
         return np.concatenate([self.first[a] + np.searchsorted(self.places[a], x) for a, x in drawn.items()])
 
 
+def full_effects(regions: DataFrame, patterns: list[str], k: int, *, least: int = 30, doubles: bool = False) -> DataFrame:
+    """calibrate.full_effects() of the families (patterns) of ``least`` rows and two alleles at least, of regions(region, seq, y).
+
+    Fits of sums: no row of a design is shuffled or held.
+    """
+    found = local.cells(regions.withColumn("cpg_oe", F.lit(0.0)), patterns, k, alone=True, palindrome="forward", moments=True)
+    cells = found.groupBy("pattern").agg(F.sum("n").alias("n"), F.collect_list(F.struct("allele", "n", "sums")).alias("cells"))
+    cells = cells.where((F.col("n") >= least) & (F.size("cells") > 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                n, sums = np.zeros(4, np.int64), np.zeros((4, len(local.COVARIATES) + len(local.PAIRS)))
+                for cell in row.cells:
+                    i = S.BASES.index(cell["allele"])
+                    n[i], sums[i] = cell["n"], cell["sums"]
+                d = SummedDesign(n, sums)
+                fit = d.fit()
+                full = d.full(fit, doubles) if fit is not None else {}
+                out += [(row.pattern, k, d.n, e, abs(e) / d.y_sd, log, d.y_sd, d.residual_ratio(fit)) for k, (e, log) in full.items()]
+            yield pd.DataFrame(out, columns=["family", *(c.split()[0] for c in calibrate.FULL.split(", "))])
+
+    return cells.mapInPandas(run, f"family string, {calibrate.FULL}")
+
+
 def curves(regions: DataFrame, patterns: list[str], k: int, caps: list[int], *, least: int = 20, repeats: int = 50, seed: int = 1) -> DataFrame:
     """calibrate.curves() of the families (patterns) of ``least`` rows and two alleles at least, of regions(region, seq, y).
 
