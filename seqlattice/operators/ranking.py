@@ -68,6 +68,17 @@ def rounded_means(rows: DataFrame, key: str, values: list[str], order: list[Colu
     return out.select(key, "n", *[(F.round(exact(v) * scale) / scale).alias(v) for v in values])
 
 
+def exact_means(rows: DataFrame, key: str, values: list[str], places: int = 6) -> DataFrame:
+    """key, n and the mean of each value, rounded half up, of sums of its decimals: no order of the rows decides a tie.
+
+    Values that no decimal of 10 digits before the point holds (NaN and infinite ones too) are added as doubles.
+    """
+    scale = float(10**places)
+    decimal = lambda v: F.col(v).try_cast("decimal(28,18)")
+    mean = lambda v: F.when(F.count(decimal(v)) == F.count(v), F.sum(decimal(v)).cast("double") / F.nullif(F.count(v), F.lit(0))).otherwise(F.avg(v))
+    return rows.groupBy(key).agg(F.count("*").alias("n"), *[(F.round(mean(v) * scale) / scale).alias(v) for v in values])
+
+
 def e_score(f: Column, rank_sum: Column, n_total: Column) -> Column:
     """AUC less one half of f ranks with that sum among n_total; null if f is none or all."""
     b = n_total - f
